@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bbpe, langid, simhash_vp
+from . import bbpe, decontam, langid, secrets_rand, simhash_vp
 
 
 def queries():
     return {
         "op2_language": langid.op2_language,
         "op3_simhash": simhash_vp.op3_simhash,
+        "op8_decontamination": decontam.op8_decontamination,
         "op9_bbpe": bbpe.op9_bbpe,
+        "op10_secrets": secrets_rand.op10_secrets,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op8_decontamination": decontam.OP8_SQL, "op10_secrets": secrets_rand.op10_sql()}
