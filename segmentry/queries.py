@@ -1,11 +1,358 @@
-"""Queries of the library, and their DuckDB twins."""
+"""Queries of the library by name, each over whole tables, and their DuckDB twins (twins.py)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions import arrays as A
+from .functions import vectors as V
+from .operators import evaluation as E
+from .operators import intervals as I  # noqa: E741
+from .operators import sequences as S
+from .operators import similarity as M
+from .plans import relational as R
+from .sources import frames as src
+
+#: Small kernels: event tracks have 45 to 99 frames.
+FOOTE = {"m_gaussian": 16, "m_median": 4, "l_peaks": 8}
+SF = {"m_gaussian": 7, "m_embedded": 3, "k_nearest": 0.1, "mp_adaptive": 8}
+PLACES = 6
+
+
+def r6(c) -> Column:
+    return F.round(c, PLACES)
+
+
+def cells(packed: DataFrame, x: str = "x") -> DataFrame:
+    """(track_id, i, d, v): the values of a matrix column."""
+    return packed.select("track_id", F.posexplode(x).alias("i", "row")).select("track_id", F.col("i").cast("long").alias("i"), F.posexplode("row").alias("d", "v")).select("track_id", "i", F.col("d").cast("long").alias("d"), r6("v").alias("v"))
+
+
+def curve(packed: DataFrame, x: str) -> DataFrame:
+    return packed.select("track_id", F.posexplode(x).alias("i", "v")).select("track_id", F.col("i").cast("long").alias("i"), r6(F.col("v").cast("double")).alias("v"))
+
+
+def bounds(packed: DataFrame) -> DataFrame:
+    return packed.select("track_id", F.posexplode("bounds").alias("k", "frame")).select("track_id", F.col("k").cast("long").alias("k"), F.col("frame").cast("long").alias("frame"))
+
+
+def on_events(f):
+    return lambda spark, d: f(src.events_packed(spark, d))
+
+
+def upper(packed: DataFrame, m: str) -> DataFrame:
+    """(track_id, i, j, v) of the cells over the diagonal."""
+    return cells(packed, m).where("i < d").withColumnRenamed("d", "j")
+
+
+def days(packed: DataFrame) -> Column:
+    """Frame numbers, after 0, where a new day begins."""
+    day = F.transform("ts", lambda t: F.floor(t / 86400))
+    return A.change_points(day)
+
+
+def plain_novelty(packed: DataFrame) -> DataFrame:
+    return S.successive_novelty(S.normalise(packed, "inf"))
+
+
+def plain_peaks(packed: DataFrame) -> DataFrame:
+    return S.pick_peaks(S.adaptive_threshold(plain_novelty(packed), 8, 0.05))
+
+
+def knn_size() -> Column:
+    return F.floor(0.1 * F.size("x")).cast("int")
+
+
+def main_type(x) -> Column:
+    """Number of the event type of every frame."""
+    return F.transform(x, lambda v: (F.array_position(F.slice(v, 2, 5), 1.0) - 1).cast("int"))
+
+
+def estimated(packed: DataFrame) -> DataFrame:
+    """Segments between novelty peaks as (track_id, times, labels); a label is the event type at the start. Times are frame numbers."""
+    p = plain_peaks(packed.withColumn("types", main_type(F.col("x")))).withColumn("b", S.with_ends(F.col("peaks"), F.size("x")))
+    labels = F.transform(F.filter(A.positions("b"), lambda k: k < F.size("b") - 1), lambda k: A.at("types", A.at("b", k)).cast("string"))
+    return p.select("track_id", F.transform("b", lambda t: t.cast("double")).alias("times"), labels.alias("labels")).where("size(times) > 1")
+
+
+def annotated(packed: DataFrame) -> DataFrame:
+    """Segments of a day; the label is the day's number modulo 3."""
+    p = packed.withColumn("b", S.with_ends(days(packed), F.size("x")))
+    labels = F.transform(F.filter(A.positions("b"), lambda k: k < F.size("b") - 1), lambda k: F.pmod(F.floor(A.at("ts", A.at("b", k)) / 86400), F.lit(3)).cast("string"))
+    return p.select("track_id", F.transform("b", lambda t: t.cast("double")).alias("times"), labels.alias("labels")).where("size(times) > 1")
+
+
+def sides(spark, d) -> DataFrame:
+    """Both segmentations from one packing; no join is needed here."""
+    p = src.events_packed(spark, d)
+    return E.joined(estimated(p), annotated(p))
+
+
+def metric(df: DataFrame, *names: str) -> DataFrame:
+    return df.select("track_id", *[r6(F.col(f"`{n}`").cast("double")).alias(n.replace(".", "_")) for n in names])
+
+
+def label_runs(spark, d) -> DataFrame:
+    """Runs of equal labels of the embeddings: (track_id, seg, start, end, label)."""
+    rows = src.table(spark, d, "embeddings").select(F.lit("embeddings").alias("track_id"), F.col("vec_id").alias("t"), "label")
+    # one track has one order: its labels are one array, and runs are read from it
+    p = rows.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("t", "label"))).alias("o"))
+    p = p.withColumn("b", F.array_distinct(F.concat(F.array(F.lit(0)), A.change_points(F.col("o.label")), F.array(F.size("o")))))
+    seg = F.transform(F.filter(A.positions("b"), lambda k: k < F.size("b") - 1), lambda k: F.struct(k.alias("seg"), A.at("b", k).cast("double").alias("start"), A.at("b", k + 1).cast("double").alias("end"), A.at(F.col("o.label"), A.at("b", k)).alias("label")))
+    return p.select("track_id", F.inline(seg))
+
+
+def run_times(spark, d) -> DataFrame:
+    runs = label_runs(spark, d)
+    return I.intervals_to_times(runs)
+
+
+def as_segments(seg: DataFrame) -> DataFrame:
+    return seg.select("track_id", F.col("seg").cast("long").alias("seg"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.col("label").cast("long").alias("label"))
+
+
+def frames_from_events(spark, d):
+    return src.unpack(src.events_packed(spark, d)).select("track_id", F.col("i").cast("long").alias("i"), r6("t").alias("t"), r6(F.get("vec", 0)).alias("value"), F.array_join(F.transform(F.slice("vec", 2, 5), lambda v: v.cast("int").cast("string")), "").alias("types"), F.get("vec", 6).alias("k"))
+
+
+def frames_from_embeddings(spark, d):
+    return cells(src.embeddings_packed(spark, d))
+
+
+def beat_sync_mean(spark, d):
+    p = src.events_packed(spark, d)
+    p = p.withColumn("beats", days(p))
+    return cells(S.beat_sync(p))
+
+
+def cosine_affinity(packed: DataFrame) -> DataFrame:
+    return M.balanced_affinity(M.recurrence(S.normalise(packed, "min_max"), knn_size()))
+
+
+def cbm_segment_scores(spark, d):
+    p = M.ssm(src.events_packed(spark, d), "cosine")
+    p = p.withColumn("s", R.band_scores(F.col("ssm"), 16, 7))
+    return p.select("track_id", F.posexplode("s").alias("end", "row")).select("track_id", F.col("end").cast("long").alias("end"), F.posexplode("row").alias("k", "v")).select("track_id", "end", (F.col("k") + 1).cast("long").alias("n"), r6("v").alias("v"))
+
+
+def cbm_penalty(spark, d):
+    n = spark.range(1, 65).select("id")
+    kinds = ("modulo8", "modulo4", "modulo8modulo4", "target_deviation_8_alpha_half", "target_deviation_8_alpha_one", "target_deviation_8_alpha_two")
+    return n.select(F.col("id").alias("n"), *[r6(R.penalty(F.col("id"), k).cast("double")).alias(k) for k in kinds])
+
+
+def cbm_boundaries(spark, d):
+    return bounds(R.cbm(src.events_packed(spark, d), "cosine"))
+
+
+def align_times_asof(spark, d):
+    f = src.unpack(src.events_packed(spark, d)).select("track_id", "i", "t")
+    noon = f.select("track_id", (F.floor(F.col("t") / 86400) * 86400 + 43200).cast("double").alias("t")).distinct()
+    got = I.align_to_next_frame(noon, f)
+    return got.select("track_id", r6("t").alias("t"), F.col("frame").cast("long").alias("frame"))
+
+
+def ground_truth_bounds(spark, d):
+    p = src.events_packed(spark, d)
+    noon = p.select("track_id", F.array_distinct(F.transform("ts", lambda t: F.floor(t / 86400) * 86400 + 43200.0)).alias("times"))
+    return bounds(R.ground_truth(noon, p))
+
+
+def synchronize_labels(spark, d):
+    p = src.events_packed(spark, d)
+    old = S.with_ends(days(p), F.size("x"))
+    p = plain_peaks(p).withColumn("old", old).withColumn("b", S.with_ends(F.col("peaks"), F.size("x")))
+    p = p.withColumn("old_labels", F.transform(F.sequence(F.lit(0), F.size("old") - 2), lambda k: k % 5))
+    return curve(p.withColumn("s", I.synchronize_labels(F.col("b"), F.col("old"), F.col("old_labels"), F.size("x"))), "s")
+
+
+def segment_mode(spark, d):
+    p = src.events_packed(spark, d)
+    p = plain_peaks(p.withColumn("types", main_type(F.col("x")))).withColumn("b", S.with_ends(F.col("peaks"), F.size("x")))
+    values = p.select("track_id", F.posexplode("types").alias("i", "value"))
+    seg = p.select("track_id", F.inline(F.transform(F.filter(A.positions("b"), lambda k: k < F.size("b") - 1), lambda k: F.struct(k.alias("seg"), A.at("b", k).alias("first"), A.at("b", k + 1).alias("last")))))
+    return I.segment_mode(values, seg).select("track_id", F.col("seg").cast("long").alias("seg"), F.col("label").cast("long").alias("label"))
+
+
+def segments_of(side: DataFrame) -> DataFrame:
+    rows = F.transform(F.sequence(F.lit(0), F.size("labels") - 1), lambda k: F.struct(k.alias("seg"), A.at("times", k).alias("start"), A.at("times", k + 1).alias("end"), A.at("labels", k).cast("int").alias("label")))
+    return side.select("track_id", F.inline(rows))
+
+
+def relabel_overlap_matrix(spark, d):
+    p = src.events_packed(spark, d)
+    m = I.overlap_matrix(segments_of(estimated(p)), segments_of(annotated(p)))
+    return m.select("track_id", F.col("est_label").cast("long").alias("est_label"), F.col("ref_label").cast("long").alias("ref_label"), r6("overlap").alias("overlap"))
+
+
+def relabel_hierarchy(spark, d):
+    p = src.events_packed(spark, d)
+    e, r = segments_of(estimated(p)), segments_of(annotated(p))
+    got = I.relabel(I.overlap_matrix(e, r), e.select("track_id", "label"), r.select("track_id", "label"))
+    return got.select("track_id", F.col("est_label").cast("long").alias("est_label"), F.col("new_label").cast("long").alias("new_label"))
+
+
+def results_mean(spark, d):
+    got = E.label_scores(E.hit_rates(sides(spark, d), 3.0, False, "HitRate_3", "HitRate_w3F"))
+    return E.summary(got.select("HitRate_3P", "HitRate_3R", "HitRate_3F", "PWF", "Sf")).select(*[r6(c).alias(c) for c in ("HitRate_3P", "HitRate_3R", "HitRate_3F", "PWF", "Sf")])
+
+
+def param_sweep(spark, d):
+    """The mean hit rate of every pair of threshold size and share: parameters are a small literal side of each track's row."""
+    p = plain_novelty(src.events_packed(spark, d))
+    ref = annotated(src.events_packed(spark, d)).select("track_id", F.col("times").alias("ref_times"))
+    out = None
+    for size in (4, 8):
+        for share in (0.0, 0.1):
+            q = S.pick_peaks(S.adaptive_threshold(p, size, share))
+            q = q.select("track_id", F.lit(size).cast("long").alias("size"), F.lit(share).alias("share"), F.transform(S.with_ends(F.col("peaks"), F.size("x")), lambda t: t.cast("double")).alias("est_times"))
+            out = q if out is None else out.unionByName(q)
+    scored = E.hit_rates(out.join(ref, "track_id"), 3.0, False, "HitRate_3", "HitRate_w3F")
+    return scored.groupBy("size", "share").agg(r6(F.avg("HitRate_3F")).alias("f"))
+
+
+def results_cube(spark, d):
+    """Counts and mean hit rate by every grouping of data set and of more or fewer than 70 frames."""
+    got = E.hit_rates(sides(spark, d), 3.0, False, "HitRate_3", "HitRate_w3F")
+    got = got.select(F.concat(F.lit("d"), F.pmod(F.col("track_id").cast("long"), F.lit(3)).cast("string")).alias("ds_name"), F.when(F.element_at("ref_times", -1) >= 70, "long").otherwise("short").alias("kind"), "HitRate_3F")
+    return got.cube("ds_name", "kind").agg(F.count("*").alias("n"), r6(F.avg("HitRate_3F")).alias("f"))
+
+
+def factor_distances(spark, d):
+    e = src.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    o = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")).where("vec_id >= 0")
+    j = e.join(o, "vec_id")
+    a, b = F.col("v"), F.col("w")
+    return j.select("vec_id", r6(V.euclidean(a, b)).alias("l2"), r6(V.l1(a, b)).alias("l1"), r6(V.cosine_distance(a, b)).alias("cosine"), r6(V.absolute_cosine_distance(a, b)).alias("abs_cosine"), r6(V.kullback_leibler(F.transform(a, lambda x: F.abs(x)), F.transform(b, lambda x: F.abs(x)))).alias("kl"))
+
+
+def vq_assign(spark, d):
+    """The nearest of the means of the labels; the centres are one small row."""
+    e = src.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    parts = e.select("label", F.posexplode("v").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("m"))
+    centres = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("c"))
+    return nearest_centre(e, centres).select("vec_id", F.col("centre").cast("long").alias("centre"), r6("dist").alias("dist"))
+
+
+def nearest_centre(rows: DataFrame, centres: DataFrame, limit: int = 10_000) -> DataFrame:
+    """Adds centre and dist. Centres (label, c) within the limit are read as one broadcast array; more are dealt out in blocks."""
+    n = centres.count()
+    blocks = max(1, -(-n // limit))
+    numbered = centres.withColumn("block", F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int"))
+    packed = numbered.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("centres"))
+    dealt = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    joined = dealt.join(F.broadcast(packed) if blocks == 1 else packed, "block")
+    best = F.array_min(F.transform("centres", lambda c: F.struct(V.euclidean("v", c["c"]).alias("dist"), c["label"].alias("centre"))))
+    got = joined.withColumn("b", best).drop("centres", "block")
+    if blocks > 1:
+        got = got.groupBy("vec_id").agg(F.min("b").alias("b"))
+    return got.select("*", F.col("b.centre").alias("centre"), F.col("b.dist").alias("dist")).drop("b")
+
+
+def norm_sampling_probabilities(spark, d):
+    e = src.table(spark, d, "embeddings").select("vec_id", V.dot(F.col("embedding").cast("array<double>"), F.col("embedding").cast("array<double>")).alias("s"))
+    whole = e.agg(F.sum("s").alias("whole"))
+    return e.join(F.broadcast(whole)).select("vec_id", r6(F.col("s") / F.col("whole")).alias("p"))
+
+
+def cmeans_membership(spark, d):
+    """Fuzzy membership (m 1.75) of every vector in the means of labels 0 to 9."""
+    e = src.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    parts = e.select("label", F.posexplode("v").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("m"))
+    centres = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("c"))
+    packed = centres.agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("centres"))
+    w = F.transform("centres", lambda c: F.struct(c["label"].alias("label"), F.pow(F.greatest(V.euclidean("v", c["c"]), F.lit(1e-12)), F.lit(-2 / 0.75)).alias("w")))
+    got = e.join(F.broadcast(packed)).select("vec_id", w.alias("w")).withColumn("all", V.total(F.transform("w", lambda x: x["w"])))
+    return got.select("vec_id", "all", F.inline("w")).select("vec_id", F.col("label").cast("long").alias("label"), r6(F.col("w") / F.col("all")).alias("membership"))
+
+
+def session_segments(spark, d):
+    """Sessions of every user: runs of events with gaps of at most 12 hours."""
+    e = src.table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    g = e.groupBy("user_id", F.session_window("ts", "12 hours").alias("s")).agg(F.count("*").alias("n"), r6(F.sum("value")).alias("value"))
+    return g.select("user_id", r6(F.unix_micros("s.start") / 1e6).alias("start"), "n", "value")
+
+
+def resample_mean(spark, d):
+    """Day means of value weighted by overlap: every event lasts until the next of its track."""
+    p = src.unpack(src.events_packed(spark, d))
+    w = W.partitionBy("track_id").orderBy("i")
+    spans = p.select("track_id", F.col("t").alias("s"), F.lead("t").over(w).alias("e"), F.get("vec", 0).alias("v")).where("e is not null")
+    cut = spans.select("track_id", "s", "e", "v", F.explode(F.sequence(F.floor(F.col("s") / 86400), F.floor(F.col("e") / 86400))).alias("day"))
+    part = F.least("e", (F.col("day") + 1) * 86400) - F.greatest("s", F.col("day") * 86400)
+    return cut.withColumn("w", part).where("w > 0").groupBy("track_id", "day").agg(r6(F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
+
 
 def queries():
-    return {}
+    out = {
+        "frames_from_events": frames_from_events,
+        "frames_from_embeddings": frames_from_embeddings,
+        "norm_inf": on_events(lambda p: cells(S.normalise(p, "inf"))),
+        "norm_l2": on_events(lambda p: cells(S.l2_rows(p))),
+        "norm_p1": on_events(lambda p: cells(S.normalise(p, 1))),
+        "norm_minmax": on_events(lambda p: cells(S.normalise(p, "min_max"))),
+        "norm_log": on_events(lambda p: cells(S.normalise(p, "log"))),
+        "log1p": on_events(lambda p: cells(S.logarithm(p))),
+        "whiten_cols": on_events(lambda p: cells(S.whiten(p))),
+        "beat_sync_mean": beat_sync_mean,
+        "delay_embedding": on_events(lambda p: cells(S.delay_embedding(p, 2.5))),
+        "stack_memory": on_events(lambda p: cells(S.stack_memory(p))),
+        "median_filter": on_events(lambda p: cells(S.median_smooth(p, 12))),
+        "gaussian_smooth": on_events(lambda p: cells(S.gaussian_smooth(p, 2.0))),
+        "novelty_successive": on_events(lambda p: curve(plain_novelty(p), "nc")),
+        "adaptive_threshold": on_events(lambda p: curve(S.adaptive_threshold(plain_novelty(p), 8, 0.05), "th")),
+        "peak_pick": on_events(lambda p: curve(plain_peaks(p), "peaks")),
+        "change_points": on_events(lambda p: curve(p.withColumn("c", days(p)), "c")),
+        "ssm_seuclidean": on_events(lambda p: upper(M.ssm(p, "seuclidean"), "ssm")),
+        "ssm_cosine": on_events(lambda p: upper(M.ssm(p, "cosine"), "ssm")),
+        "ssm_covariance": on_events(lambda p: upper(M.ssm(p, "covariance"), "ssm")),
+        "ssm_rbf": on_events(lambda p: upper(M.ssm(p, "rbf"), "ssm")),
+        "recurrence_knn": on_events(lambda p: cells(M.recurrence(p, knn_size(), 3, False), "rec").where("v > 0").withColumnRenamed("d", "j")),
+        "recurrence_mutual": on_events(lambda p: cells(M.recurrence(p, knn_size(), 1, True), "rec").where("v > 0").withColumnRenamed("d", "j")),
+        "lag_matrix": on_events(lambda p: cells(M.recurrence(p, knn_size()).withColumn("l", M.lag_matrix("rec")), "l").where("v > 0").withColumnRenamed("d", "j")),
+        "path_similarity": on_events(lambda p: curve(M.path_similarity(S.normalise(p, "min_max")), "path")),
+        "graph_degree": on_events(lambda p: curve(cosine_affinity(p), "deg_rec")),
+        "balanced_affinity": on_events(lambda p: cosine_affinity(p).select("track_id", r6("mu").alias("mu"), r6(V.total(F.transform("aff", V.total))).alias("total"))),
+        "checkerboard_novelty": on_events(lambda p: curve(M.checkerboard_novelty(M.ssm(S.normalise(p, "min_max")), 16), "nc")),
+        "foote_boundaries": on_events(lambda p: bounds(R.foote(p, **FOOTE))),
+        "sf_boundaries": on_events(lambda p: bounds(R.sf(p, **SF))),
+        "cbm_segment_scores": cbm_segment_scores,
+        "cbm_penalty": cbm_penalty,
+        "cbm_boundaries": cbm_boundaries,
+        "ground_truth_bounds": ground_truth_bounds,
+        "times_to_intervals": lambda s, d: I.times_to_intervals(run_times(s, d)).select("track_id", F.col("seg").cast("long").alias("seg"), "start", "end"),
+        "intervals_to_times": run_times,
+        "drop_empty_segments": lambda s, d: as_segments(I.drop_empty(label_runs(s, d).withColumn("end", F.when(F.col("seg") % 7 == 3, F.col("start")).otherwise(F.col("end"))))),
+        "edge_silence": lambda s, d: as_segments(I.edge_silence(label_runs(s, d).withColumn("start", F.col("start") + 0.5).withColumn("end", F.col("end") + 0.5), s.range(1).select(F.lit("embeddings").alias("track_id"), F.lit(1e6).alias("dur")))),
+        "align_times_asof": align_times_asof,
+        "synchronize_labels": synchronize_labels,
+        "segment_mode": segment_mode,
+        "relabel_overlap_matrix": relabel_overlap_matrix,
+        "relabel_hierarchy": relabel_hierarchy,
+        "hit_rate_3s": lambda s, d: metric(E.hit_rates(sides(s, d), 3.0, False, "HitRate_3", "HitRate_w3F"), "HitRate_3P", "HitRate_3R", "HitRate_3F"),
+        "hit_rate_half": lambda s, d: metric(E.hit_rates(sides(s, d), 0.5, False, "HitRate_0.5", "HitRate_w0.5F"), "HitRate_0.5P", "HitRate_0.5R", "HitRate_0.5F"),
+        "hit_rate_trimmed": lambda s, d: metric(E.hit_rates(sides(s, d), 3.0, True, "HitRate_t3", "HitRate_wt3F"), "HitRate_t3P", "HitRate_t3R", "HitRate_t3F"),
+        "hit_rate_weighted": lambda s, d: metric(E.hit_rates(sides(s, d), 3.0, False, "HitRate_3", "HitRate_w3F"), "HitRate_w3F"),
+        "median_deviation": lambda s, d: metric(E.deviations(sides(s, d)), "DevR2E", "DevE2R", "DevtR2E", "DevtE2R"),
+        "information_gain": lambda s, d: metric(sides(s, d).withColumn("D", E.information_gain(E.points("ref_times"), E.points("est_times"))), "D"),
+        "pairwise_scores": lambda s, d: metric(E.label_scores(sides(s, d)), "PWP", "PWR", "PWF"),
+        "nce_scores": lambda s, d: metric(E.label_scores(sides(s, d)), "So", "Su", "Sf"),
+        "results_mean": results_mean,
+        "results_cube": results_cube,
+        "param_sweep": param_sweep,
+        "factor_distances": factor_distances,
+        "vq_assign": vq_assign,
+        "norm_sampling_probabilities": norm_sampling_probabilities,
+        "cmeans_membership": cmeans_membership,
+        "session_segments": session_segments,
+        "resample_mean": resample_mean,
+    }
+    return out
 
 
 def oracle_sql():
-    return {}
+    from .twins import TWINS
+
+    return dict(TWINS)
