@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from .functions import arrays as A
 from .functions import vectors as V
 from .operators import evaluation as E
+from .operators import factor
 from .operators import intervals as I  # noqa: E741
 from .operators import sequences as S
 from .operators import similarity as M
+from .plans import api
 from .plans import relational as R
+from .sources import annotations as ann
 from .sources import frames as src
 
 #: Small kernels: event tracks have 45 to 99 frames.
@@ -285,6 +288,99 @@ def resample_mean(spark, d):
     return cut.withColumn("w", part).where("w > 0").groupBy("track_id", "day").agg(r6(F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
 
 
+def time_lag_median(packed: DataFrame) -> DataFrame:
+    return M.ssm(packed, "cosine").withColumn("m", M.time_lag_median("ssm", 5))
+
+
+def estimation_records(spark, d) -> DataFrame:
+    """Annotations as files hold them: per track one without labels, one with, and one of days."""
+    both = sides(spark, d)
+    row = lambda t, l: F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda k: F.struct(A.at(t, k).alias("time"), (A.at(t, k + 1) - A.at(t, k)).alias("duration"), A.at(l, k).alias("value"), F.lit(None).cast("double").alias("confidence")))  # noqa: E731, E741
+    box = lambda b, l: F.create_map(F.lit("boundaries_id"), F.lit(b), F.lit("labels_id"), F.lit(l).cast("string"), F.lit("k_nearest"), F.lit("0.04"))  # noqa: E731, E741
+    one = lambda t, l, b, i: F.struct(row(t, l).alias("data"), box(b, i).alias("sandbox"))  # noqa: E731, E741
+    all_ = F.array(one("est_times", "est_labels", "novelty", None), one("est_times", "est_labels", "novelty", "types"), one("ref_times", "ref_labels", "days", None))
+    return both.select("track_id", F.posexplode(all_).alias("ann", "a")).select(F.col("track_id").alias("path"), "track_id", "ann", F.lit("segment_open").alias("namespace"), "a.data", "a.sandbox")
+
+
+def find_estimation(spark, d):
+    got = ann.find_estimations(estimation_records(spark, d), "novelty", "types", compat=True, k_nearest=0.04)
+    return got.select("track_id", F.col("ann").cast("long").alias("ann"), F.col("matches").cast("long").alias("matches"), F.size("data").cast("long").alias("n_segments"))
+
+
+def estimation_upsert(spark, d):
+    """Estimations of every customer, those of each third nation estimated anew, under keys that may be null."""
+    c = src.table(spark, d, "customer")
+    old = c.select("c_custkey", F.col("c_mktsegment").alias("boundaries_id"), F.when(F.col("c_nationkey") % 2 == 0, F.lit("fmc2d")).alias("labels_id"), F.lit(0).cast("long").alias("version"))
+    new = c.where("c_nationkey % 3 = 0").select("c_custkey", F.col("c_mktsegment").alias("boundaries_id"), F.when(F.col("c_nationkey") % 4 == 0, F.lit("fmc2d")).alias("labels_id"), F.lit(1).cast("long").alias("version"))
+    return ann.upsert(old, new, ["c_custkey", "boundaries_id", "labels_id"])
+
+
+def mirex_lines(spark, d):
+    seg = segments_of(estimated(src.events_packed(spark, d)))
+    return ann.mirex_lines(seg.withColumn("label", ann.label_letter(F.col("label"))))
+
+
+def first_seen_labels(spark, d):
+    seg = segments_of(annotated(src.events_packed(spark, d)))
+    got = ann.first_seen_index(seg)
+    return got.select("track_id", F.col("seg").cast("long").alias("seg"), F.col("index").cast("long").alias("label"))
+
+
+def element_functions(spark, d):
+    e = src.table(spark, d, "events").select("event_id", "value")
+    v = F.col("value") - 50
+    return e.select("event_id", r6(V.soft_threshold(v, 10.0)).alias("soft"), r6(V.positive_part(v)).alias("positive"), r6(V.negative_part(v)).alias("negative"), r6(V.magnitude(v, F.lit(3.0))).alias("magnitude"))
+
+
+def value_decibel(packed: DataFrame) -> DataFrame:
+    p = packed.withColumn("a", F.transform("x", lambda v: F.get(v, 0)))
+    return p.withColumn("db", S.to_decibel(F.col("a"), F.array_max("a"), amplitude=True, top_db=30.0))
+
+
+def seconds(packed: DataFrame) -> DataFrame:
+    """A frame a second: for algorithms whose sizes are in seconds."""
+    return packed.withColumn("ts", F.transform(A.positions("x"), lambda i: i.cast("double")))
+
+
+def segmented(boundaries: str, labels: str | None = None, hier: bool = False, **params):
+    def query(spark, d):
+        return api.segment(seconds(src.events_packed(spark, d)), boundaries, labels, hier, **params)
+
+    return query
+
+
+def embeddings_segmented(spark, d):
+    """The default algorithm over the whole of embeddings as one track."""
+    return api.segment(src.embeddings_packed(spark, d), "sf", "fmc2d")
+
+
+def evaluate_api(spark, d):
+    p = seconds(src.events_packed(spark, d))
+    est = api.as_sides(api.segment(p, "foote", "fmc2d", M_gaussian=16, m_median=4, L_peaks=8))
+    return api.evaluate(est, annotated(src.events_packed(spark, d)))
+
+
+def t_measure(spark, d):
+    p = seconds(src.events_packed(spark, d))
+    seg = api.segment(p, "olda", hier=True)
+    o = seg.groupBy("track_id", "level").agg(F.concat(F.array_sort(F.collect_list("start")), F.array(F.max("end"))).alias("t"))
+    est = o.groupBy("track_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "t"))), lambda x: x["t"]).alias("levels"))
+    ref = annotated(src.events_packed(spark, d)).select("track_id", F.array(F.array(F.lit(0.0), F.element_at("times", -1)), F.col("times")).alias("levels"))
+    return api.t_measure(est, ref, step=0.5)
+
+
+def factorised(method: str):
+    return lambda spark, d: factor.factorize_tracks(S.min_max(src.events_packed(spark, d)), method).where("factor = 'error'").select("track_id", r6("v").alias("error"))
+
+
+def olda_transform(spark, d):
+    """Norms of the rows of the ordinal transform that is trained on the days of every track."""
+    p = src.events_packed(spark, d)
+    b = p.select("track_id", S.with_ends(days(p), F.size("x")).alias("bounds"))
+    w = api.train_olda(seconds(p), b)[1e-4]
+    return spark.createDataFrame([(k, float((r**2).sum() ** 0.5)) for k, r in enumerate(w)], "component long, norm double")
+
+
 def queries():
     out = {
         "frames_from_events": frames_from_events,
@@ -347,6 +443,28 @@ def queries():
         "norm_sampling_probabilities": norm_sampling_probabilities,
         "cmeans_membership": cmeans_membership,
         "session_segments": session_segments,
+        "time_lag_median": on_events(lambda p: upper(time_lag_median(p), "m")),
+        "normalised_laplacian": on_events(lambda p: cells(cosine_affinity(p).withColumn("l", M.normalised_laplacian("aff")), "l").where("v <> 0").withColumnRenamed("d", "j")),
+        "ordinal_chroma": on_events(lambda p: cells(S.ordinal_chroma(p))),
+        "value_decibel": on_events(lambda p: curve(value_decibel(p), "db")),
+        "element_functions": element_functions,
+        "find_estimation": find_estimation,
+        "estimation_upsert": estimation_upsert,
+        "mirex_lines": mirex_lines,
+        "first_seen_labels": first_seen_labels,
+        "segment_sf_fmc2d": segmented("sf", "fmc2d"),
+        "segment_foote": segmented("foote", M_gaussian=16, m_median=4, L_peaks=8),
+        "segment_cbm": segmented("cbm"),
+        "segment_cnmf": segmented("cnmf", "cnmf", niters=100),
+        "segment_olda": segmented("olda"),
+        "segment_scluster": segmented("scluster"),
+        "segment_scluster_hierarchy": segmented("scluster", hier=True),
+        "segment_vmo": segmented("vmo"),
+        "embeddings_segmented": embeddings_segmented,
+        "evaluate": evaluate_api,
+        "t_measure": t_measure,
+        "olda_transform": olda_transform,
+        **{f"factor_{m.lower()}": factorised(m) for m in factor.METHODS},
         "resample_mean": resample_mean,
     }
     return out

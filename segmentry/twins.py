@@ -304,4 +304,28 @@ TWINS = {
     "cmeans_membership": with_(CENTRES) + f"SELECT vec_id, CAST(label AS BIGINT) AS label, round(w / sum(w) OVER (PARTITION BY vec_id), 6) AS membership FROM (SELECT vec_id, ct.label, greatest(sqrt({DIST.format(a='e.v', b='ct.c')}), 1e-12) ** (-2 / 0.75) AS w FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) e, ct)",
     "session_segments": "SELECT user_id, round(epoch_us(min(ts)) / 1e6, 6) AS start, count(*) AS n, round(sum(value), 6) AS value FROM (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 43200000000, true) AS gap FROM events)) GROUP BY user_id, s",
     "resample_mean": with_(EV, "sp AS (SELECT track_id, t AS s, lead(t) OVER (PARTITION BY track_id ORDER BY i) AS e, value AS v FROM ev)", "cu AS (SELECT *, unnest(range(CAST(floor(s / 86400) AS BIGINT), CAST(floor(e / 86400) AS BIGINT) + 1)) AS day FROM sp WHERE e IS NOT NULL)") + "SELECT track_id, day, round(sum(w * v) / sum(w), 6) AS v FROM (SELECT *, least(e, (day + 1) * 86400) - greatest(s, day * 86400) AS w FROM cu) WHERE w > 0 GROUP BY track_id, day",
+    "time_lag_median": with_(EV, L2, COSINE, "lm AS (SELECT sm.track_id, (i - j + n) % n AS lag, j AS t, n, v FROM sm JOIN sz USING (track_id))", "lf AS (SELECT a.track_id, a.lag, a.t, any_value(a.n) AS n, list_sort(list(b.v))[3] AS v FROM lm a CROSS JOIN range(-2, 3) o(o) JOIN lm b ON b.track_id = a.track_id AND b.lag = a.lag AND b.t = (a.t + o.o + a.n) % a.n GROUP BY a.track_id, a.lag, a.t)", "tm AS (SELECT track_id, (lag + t) % n AS i, t AS j, v FROM lf)") + UPPER.format("tm"),
+    "normalised_laplacian": with_(EV, MM, *knn("mm", K, 1, True), *PATH, *DEGREES, "mu AS (SELECT track_id, sum(p * (p + r)) / sum((p + r) ** 2) AS mu FROM dg GROUP BY track_id)", "ae AS (SELECT track_id, i, j, sum(v) AS v FROM (SELECT rc.track_id, i, j, mu AS v FROM rc JOIN mu USING (track_id) UNION ALL SELECT pa.track_id, i, i + 1, (1 - mu) * v FROM pa JOIN mu USING (track_id) UNION ALL SELECT pa.track_id, i + 1, i, (1 - mu) * v FROM pa JOIN mu USING (track_id)) GROUP BY track_id, i, j)", "ad AS (SELECT track_id, i, sum(v) AS d FROM ae GROUP BY track_id, i)", "la AS (SELECT track_id, i, i AS j, 1.0::DOUBLE AS v FROM ad WHERE d > 0 UNION ALL SELECT ae.track_id, ae.i, ae.j, -ae.v / sqrt(x.d * y.d) FROM ae JOIN ad x ON x.track_id = ae.track_id AND x.i = ae.i JOIN ad y ON y.track_id = ae.track_id AND y.i = ae.j)") + "SELECT track_id, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(v, 6) AS v FROM la WHERE round(v, 6) <> 0",
+    "ordinal_chroma": with_(EV, "oc AS (SELECT track_id, i, d, 80 * log10(s / max(s) OVER (PARTITION BY track_id, i)) AS v FROM (SELECT track_id, i, d, v + (min(v) OVER (PARTITION BY track_id) + 0.1) AS s FROM fr))") + matrix("oc"),
+    "value_decibel": with_(EV, "dv AS (SELECT track_id, i, 20 * (log10(greatest(abs(value), 1e-5)) - log10(greatest(abs(max(value) OVER (PARTITION BY track_id)), 1e-5))) AS v FROM ev)", "dw AS (SELECT track_id, i, greatest(v, max(v) OVER (PARTITION BY track_id) - 30) AS v FROM dv)") + line("dw"),
+    "element_functions": "SELECT event_id, round(sign(v) * greatest(abs(v) - 10, 0) + 0.0, 6) AS soft, round(greatest(v, 0) + 0.0, 6) AS positive, round(greatest(-v, 0) + 0.0, 6) AS negative, round(sqrt(v * v + 9), 6) AS magnitude FROM (SELECT event_id, value - 50 AS v FROM events)",
+    "find_estimation": with_(*SIDES) + "SELECT track_id, 0::BIGINT AS ann, 2::BIGINT AS matches, count(*) AS n_segments FROM es GROUP BY track_id",
+    "estimation_upsert": "WITH o AS (SELECT c_custkey, c_mktsegment AS boundaries_id, CASE WHEN c_nationkey % 2 = 0 THEN 'fmc2d' END AS labels_id, 0::BIGINT AS version FROM customer), n AS (SELECT c_custkey, c_mktsegment AS boundaries_id, CASE WHEN c_nationkey % 4 = 0 THEN 'fmc2d' END AS labels_id, 1::BIGINT AS version FROM customer WHERE c_nationkey % 3 = 0) SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.c_custkey = o.c_custkey AND n.boundaries_id = o.boundaries_id AND n.labels_id IS NOT DISTINCT FROM o.labels_id)",
+    "mirex_lines": with_(*SIDES) + "SELECT track_id, string_agg(printf('%.3f', s::DOUBLE) || chr(9) || printf('%.3f', e::DOUBLE) || chr(9) || chr(CAST(label + 65 AS INT)), chr(10) ORDER BY s) AS text FROM es GROUP BY track_id",
+    "first_seen_labels": with_(EV, *REF) + "SELECT track_id, CAST(seg AS BIGINT) AS seg, CAST(dense_rank() OVER (PARTITION BY track_id ORDER BY f) - 1 AS BIGINT) AS label FROM (SELECT track_id, seg, min(seg) OVER (PARTITION BY track_id, label) AS f FROM rs)",
 }
+
+# greedy matching as a recursion: the next pair is the best whose labels are both free
+TWINS["relabel_hierarchy"] = (
+    with_(
+        *SIDES,
+        "om AS (SELECT es.track_id, es.label AS e, rs.label AS r, sum(least(es.e, rs.e) - greatest(es.s, rs.s))::DOUBLE AS o FROM es JOIN rs ON es.track_id = rs.track_id AND es.s < rs.e AND rs.s < es.e GROUP BY ALL)",
+        "pl AS (SELECT track_id, list({'e': e, 'r': r} ORDER BY o DESC, e DESC, r DESC) AS p FROM om GROUP BY track_id)",
+        "gr AS (SELECT track_id, p, 1 AS k, []::STRUCT(e BIGINT, r BIGINT)[] AS m FROM pl UNION ALL SELECT track_id, p, k + 1, CASE WHEN len(list_filter(m, lambda q: q.e = p[k].e OR q.r = p[k].r)) > 0 THEN m ELSE m || [{'e': p[k].e, 'r': p[k].r}] END FROM gr WHERE k <= len(p))",
+        "gm AS (SELECT track_id, unnest(m) AS q FROM gr WHERE k > len(p))",
+        "hit AS (SELECT track_id, q.e AS est_label, q.r AS new_label FROM gm)",
+        "lft AS (SELECT track_id, label, row_number() OVER (PARTITION BY track_id ORDER BY label) AS k FROM (SELECT track_id, label FROM es EXCEPT SELECT track_id, est_label FROM hit))",
+        "uns AS (SELECT track_id, label, row_number() OVER (PARTITION BY track_id ORDER BY label) AS k FROM (SELECT track_id, label FROM es EXCEPT SELECT track_id, label FROM rs))",
+    )
+    + "SELECT track_id, est_label, new_label FROM hit UNION ALL SELECT l.track_id, l.label, u.label FROM lft l JOIN uns u USING (track_id, k)"
+)
