@@ -285,5 +285,7 @@ def reject(spark: SparkSession, docs: DataFrame, least: float = 0.5) -> DataFram
     """Pipeline stage: the documents whose language can be told; those without letters, or with a posterior below least, go."""
     pieces = read_pieces(vocabulary())
     langs, model = learn(docs.where(~held_out()), pieces)
-    out = predict(docs, pieces, langs, model, passed=tuple(docs.columns))
-    return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*docs.columns)
+    # one column holds the row, so that no name of it can clash
+    rows = docs.select(F.struct("*").alias("doc"), "text")
+    out = predict(rows, pieces, langs, model, passed=("doc",))
+    return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("doc.*")

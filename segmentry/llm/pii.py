@@ -217,10 +217,13 @@ def sanitised(text: str, spans: list[tuple[int, int, int, float | None]]) -> str
 
 def sanitise(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """docs with sanitised texts; the id must be unique."""
-    found = find(docs, text, id_column).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), "spans")
+    found = find(docs, text, id_column).where(F.size("spans") > 0).select(F.col("doc_id").alias("id"), "spans")
 
     @F.udf("string")
     def clean(t, spans):
         return t if not spans else sanitised(t, [(x["s"], x["k"], x["x"], x["bits"]) for x in spans])
 
-    return docs.join(found, F.col(id_column) == F.col("__id"), "left").withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(clean(F.col(text), "spans"))).select(*docs.columns)
+    # one column holds the row, so that no name of it can clash
+    rows = docs.select(F.struct("*").alias("doc")).join(found, F.col(f"doc.{id_column}") == F.col("id"), "left")
+    new = F.when(F.col("spans").isNull(), F.col(f"doc.{text}")).otherwise(clean(F.col(f"doc.{text}"), "spans"))
+    return rows.select(*[(new if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns])

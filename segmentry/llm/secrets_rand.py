@@ -199,8 +199,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """Pipeline stage: every stretch covered by spans is replaced by MASK, and the length of changed texts is set anew; no row goes."""
-    found = scan(docs.withColumnRenamed(text, "__whole"), "__whole")
-    whole = F.col("__whole")
+    # one column holds the row, so that no name of it can clash
+    found = scan(docs.select(F.struct("*").alias("doc"), F.col(text).alias("whole")), "whole")
+    whole = F.col("whole")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut(acc, x):
@@ -209,10 +210,16 @@ def redact(docs: DataFrame, text: str = "text", length: str = "n_chars") -> Data
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], before).alias("out"))
 
     new = F.aggregate("spans", start, cut, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
-    found = found.withColumn(text, F.when(F.size("spans") > 0, new).otherwise(whole))
-    if length in docs.columns:
-        found = found.withColumn(length, F.when(F.size("spans") > 0, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
-    return found.select(*docs.columns)
+    found = found.select("doc", F.size("spans") > 0, F.when(F.size("spans") > 0, new).otherwise(whole)).toDF("doc", "changed", "new")
+    out = []
+    for f in docs.schema.fields:
+        old = F.col("doc").getField(f.name)
+        if f.name == text:
+            old = F.col("new")
+        elif f.name == length:
+            old = F.when(F.col("changed"), F.length("new").cast(f.dataType)).otherwise(old)
+        out.append(old.alias(f.name))
+    return found.select(*out)
 
 
 def op10_sql() -> str:

@@ -192,11 +192,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     from .common import small_or_not
 
     found = near_duplicates(docs)
-    gone = keep(found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    kept = docs.join(small_or_not(gone, gone.count()), F.col("doc_id") == F.col("__gone"), "left_anti")
-    twice = keep(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")))
+    gone = keep(found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
+    # one column holds the row, so that no name of it can clash
+    rows = docs.select(F.struct("*").alias("doc"))
+    kept = rows.join(small_or_not(gone, gone.count()), F.col("doc.doc_id") == F.col("gone"), "left_anti")
+    twice = keep(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice")))
     n = twice.count()
     if not n:
-        return kept
-    again = kept.join(small_or_not(twice, n), F.col("doc_id") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(small_or_not(twice, n), F.col("doc_id") == F.col("__twice"), "left_anti").unionByName(again)
+        return kept.select("doc.*")
+    again = kept.join(small_or_not(twice, n), F.col("doc.doc_id") == F.col("twice"), "left_semi").withColumn("id", F.col("doc.doc_id")).dropDuplicates(["id"]).drop("id")
+    return kept.join(small_or_not(twice, n), F.col("doc.doc_id") == F.col("twice"), "left_anti").unionByName(again).select("doc.*")
