@@ -50,8 +50,9 @@ def neighbour(a, k: Column, mode: str) -> Column:
 
 @held
 def neighbourhoods(a, low: int, high: int, mode: str, f) -> Column:
-    """f(values at i + low .. i + high) for every position i."""
-    return F.transform(positions(a), lambda i: f(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda o: neighbour(a, i + o, mode))))
+    """f(values at i + low .. i + high) for every position i; the ends are padded once, and windows are slices."""
+    padded = F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(low), F.size(a) - 1 + high), lambda k: neighbour(a, k, mode))).otherwise(a)
+    return let(padded, lambda p: F.transform(positions(a), lambda i: f(F.slice(p, i + 1, F.lit(high - low + 1)))))
 
 
 @held

@@ -30,15 +30,16 @@ def r6(c) -> Column:
 
 def cells(packed: DataFrame, x: str = "x") -> DataFrame:
     """(track_id, i, d, v): the values of a matrix column."""
-    return packed.select("track_id", F.posexplode(x).alias("i", "row")).select("track_id", F.col("i").cast("long").alias("i"), F.posexplode("row").alias("d", "v")).select("track_id", "i", F.col("d").cast("long").alias("d"), r6("v").alias("v"))
+    rows = src.spread(packed, x, "i", "row").select("track_id", F.col("i").cast("long").alias("i"), "row")
+    return src.spread(rows, "row", "d", "v", "i").select("track_id", "i", F.col("d").cast("long").alias("d"), r6("v").alias("v"))
 
 
 def curve(packed: DataFrame, x: str) -> DataFrame:
-    return packed.select("track_id", F.posexplode(x).alias("i", "v")).select("track_id", F.col("i").cast("long").alias("i"), r6(F.col("v").cast("double")).alias("v"))
+    return src.spread(packed, x, "i", "v").select("track_id", F.col("i").cast("long").alias("i"), r6(F.col("v").cast("double")).alias("v"))
 
 
 def bounds(packed: DataFrame) -> DataFrame:
-    return packed.select("track_id", F.posexplode("bounds").alias("k", "frame")).select("track_id", F.col("k").cast("long").alias("k"), F.col("frame").cast("long").alias("frame"))
+    return src.spread(packed, "bounds", "k", "frame").select("track_id", F.col("k").cast("long").alias("k"), F.col("frame").cast("long").alias("frame"))
 
 
 def on_events(f):
@@ -137,7 +138,8 @@ def cosine_affinity(packed: DataFrame) -> DataFrame:
 def cbm_segment_scores(spark, d):
     p = M.ssm(src.events_packed(spark, d), "cosine")
     p = p.withColumn("s", R.band_scores(F.col("ssm"), 16, 7))
-    return p.select("track_id", F.posexplode("s").alias("end", "row")).select("track_id", F.col("end").cast("long").alias("end"), F.posexplode("row").alias("k", "v")).select("track_id", "end", (F.col("k") + 1).cast("long").alias("n"), r6("v").alias("v"))
+    rows = src.spread(p, "s", "end", "row").select("track_id", F.col("end").cast("long").alias("end"), "row")
+    return src.spread(rows, "row", "k", "v", "end").select("track_id", "end", (F.col("k") + 1).cast("long").alias("n"), r6("v").alias("v"))
 
 
 def cbm_penalty(spark, d):
@@ -174,7 +176,7 @@ def synchronize_labels(spark, d):
 def segment_mode(spark, d):
     p = src.events_packed(spark, d)
     p = plain_peaks(p.withColumn("types", main_type(F.col("x")))).withColumn("b", S.with_ends(F.col("peaks"), F.size("x")))
-    values = p.select("track_id", F.posexplode("types").alias("i", "value"))
+    values = src.spread(p, "types", "i", "value")
     seg = p.select("track_id", F.inline(F.transform(F.filter(A.positions("b"), lambda k: k < F.size("b") - 1), lambda k: F.struct(k.alias("seg"), A.at("b", k).alias("first"), A.at("b", k + 1).alias("last")))))
     return I.segment_mode(values, seg).select("track_id", F.col("seg").cast("long").alias("seg"), F.col("label").cast("long").alias("label"))
 

@@ -38,9 +38,17 @@ def embeddings_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(o.alias("o")).select(F.lit("embeddings").alias("track_id"), F.transform("o", lambda r: r["vec_id"].cast("double")).alias("ts"), F.col("o.vec").alias("x")).where(F.size("x") > 0)
 
 
+def spread(packed: DataFrame, x, place: str, value: str, *more: str) -> DataFrame:
+    """(track_id, more, place, value): the elements of an array.
+
+    The outer form keeps Spark from putting a filter on the array's size below, which would compute the array twice.
+    """
+    return packed.select("track_id", *more, F.posexplode_outer(x).alias(place, value)).where(F.col(place).isNotNull())
+
+
 def unpack(packed: DataFrame, x: str = "x") -> DataFrame:
     """frames of a packed table."""
-    return packed.select("track_id", F.posexplode(F.arrays_zip("ts", x)).alias("i", "f")).select("track_id", "i", F.col("f.ts").alias("t"), F.col(f"f.{x}").alias("vec"))
+    return spread(packed, F.arrays_zip("ts", x), "i", "f").select("track_id", "i", F.col("f.ts").alias("t"), F.col(f"f.{x}").alias("vec"))
 
 
 def pack(frames: DataFrame) -> DataFrame:
@@ -51,4 +59,4 @@ def pack(frames: DataFrame) -> DataFrame:
 def series(packed: DataFrame, x: str = "x") -> DataFrame:
     """(track_id, d, a): one array of values per dimension."""
     dims = F.transform(F.sequence(F.lit(0), F.size(F.get(F.col(x), 0)) - 1), lambda d: F.transform(x, lambda v: F.get(v, d)))
-    return packed.select("track_id", F.posexplode(dims).alias("d", "a"))
+    return spread(packed, dims, "d", "a")
