@@ -23,6 +23,15 @@ class Settings:
     references_dir: str = "references"
     audio_exts: str = "wav,mp3,aif"
 
+    @staticmethod
+    def parse(flags: str) -> dict[str, str]:
+        """Values of `name=value,name=value`, quotes allowed, the last of equal names."""
+        import shlex
+
+        words = shlex.shlex(flags, posix=True)
+        words.whitespace, words.whitespace_split = ",", True
+        return {k.strip(): v for k, eq, v in (w.partition("=") for w in words) if eq}
+
     @classmethod
     def of(cls, spark: SparkSession, **own) -> Settings:
         """Own values over the session's over the defaults; values of the wrong kind are errors."""

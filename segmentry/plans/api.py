@@ -156,6 +156,16 @@ def train_olda(packed: DataFrame, bounds: DataFrame, sigmas: tuple[float, ...] =
     return {s: K.fit_olda(*m.reshape(2, d, d), s) for s in sigmas}
 
 
+def load_transform(spark, path: str | None, size: int) -> np.ndarray:
+    """The matrix of an .npy file, read through Spark; the identity without a path."""
+    import io
+
+    if path is None:
+        return np.eye(size)
+    content = spark.read.format("binaryFile").load(path).select("content").first()["content"]
+    return np.load(io.BytesIO(bytes(content)), allow_pickle=False)
+
+
 def sweep(packed: DataFrame, references: DataFrame, boundaries: str, grid: dict[str, list]) -> DataFrame:
     """Mean metrics for every combination of parameter values."""
     from itertools import product

@@ -275,6 +275,45 @@ def test_settings(spark):
         Settings.of(spark, n_fft="many")
     with pytest.raises(KeyError):
         Settings.of(spark, nothing=1)
+    assert Settings.parse("a=1,b='x,y',a=2") == {"a": "2", "b": "x,y"}
+
+
+def test_joins(spark):
+    from segmentry.operators import joins as J
+
+    a = spark.createDataFrame([("t", 0, 0.0, 4.0), ("t", 1, 4.0, 9.0)], "track_id string, seg int, start double, end double")
+    b = spark.createDataFrame([("t", 0, 0.0, 3.0), ("t", 1, 3.0, 5.0), ("t", 2, 5.0, 9.0)], "track_id string, seg int, start double, end double")
+    assert sorted(tuple(r) for r in J.match_intervals(a, b).collect()) == [("t", 0, 0), ("t", 1, 2)]
+    x = spark.createDataFrame([("t", 1.0), ("t", 7.0)], "track_id string, t double")
+    y = spark.createDataFrame([("t", 0.0), ("t", 5.0)], "track_id string, t double")
+    assert sorted(tuple(r) for r in J.nearest_points(x, y).collect()) == [("t", 1.0, 1.0), ("t", 7.0, 2.0)]
+    p = spark.createDataFrame([("t", [0.0, 1.0], [[1.0], [2.0]]), ("u", [0.0], [[1.0]])], "track_id string, ts array<double>, x array<array<double>>")
+    q = spark.createDataFrame([("t", [0.0, 1.0], [[3.0], [4.0]]), ("u", [0.5], [[1.0]])], "track_id string, ts array<double>, x array<array<double>>")
+    assert [tuple(r) for r in J.zip_features(p, q).select("track_id", "x2").collect()] == [("t", [[3.0], [4.0]])]
+    assert [r["track_id"] for r in J.unequal_axes(p, q).collect()] == ["u"]
+    v = spark.createDataFrame([([1.0, 2.0],), ([3.0, 6.0],)], "vec array<double>")
+    assert {(r["i"], r["j"]): r["v"] for r in J.covariance(v).collect()} == {(0, 0): 2.0, (0, 1): 4.0, (1, 0): 4.0, (1, 1): 8.0}
+
+
+def test_command_line(spark, sf, tmp_path):
+    from segmentry.__main__ import main
+    from segmentry.queries import annotated, seconds
+    from segmentry.sources import frames as src
+
+    p = src.events_packed(spark, sf)
+    seconds(p).write.parquet(str(tmp_path / "in"))
+    annotated(p).write.parquet(str(tmp_path / "ref"))
+    main(["segment", str(tmp_path / "in"), str(tmp_path / "seg"), "--boundaries", "foote", "--labels", "fmc2d", "--param", "M_gaussian=16"])
+    main(["evaluate", str(tmp_path / "seg"), str(tmp_path / "ref"), str(tmp_path / "out")])
+    assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 15
+
+
+def test_transform_file(spark, tmp_path):
+    from segmentry.plans import api
+
+    np.save(tmp_path / "w.npy", np.arange(4.0).reshape(2, 2))
+    assert api.load_transform(spark, str(tmp_path / "w.npy"), 2).tolist() == [[0.0, 1.0], [2.0, 3.0]]
+    assert (api.load_transform(spark, None, 3) == np.eye(3)).all()
 
 
 def test_own_algorithm(spark):
