@@ -89,6 +89,37 @@ def test_pipeline(spark, odd):
     assert corpus_pipeline.run(spark, odd["none"]).count() == 0
 
 
+def test_pipeline_equals_brute_force(spark, sf):
+    import public_tokenizers
+    import tiktoken
+
+    import corpus_pipeline
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    texts = {i: t for i, t in texts.items() if re.search(r"[^\W\d_]", t)}
+    roots = brute_components({i: simhash_vp.fingerprint(t) for i, t in texts.items()})
+    leaked = {int(re.match(r"\((\d+),", r)[1]) for r in duck(decontam.OP8_SQL, sf, "documents", "benchmark")}
+    patterns = [(re.compile(p.replace("(?i)", ""), re.I if k == "assign" else 0), k) for k, p in secrets_rand.KINDS.items()]
+
+    def masked(t):
+        found = sorted((m.start(), m.end()) for p, k in patterns for m in p.finditer(t) if k != "assign" or len(m[2]) >= 12)
+        out, at = "", 0
+        for a, b in found:
+            if a >= at:
+                out += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        return out + t[at:]
+
+    path, _ = bbpe.vocabulary()
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bbpe.read_ranks(path), special_tokens={})
+    want = {}
+    for i, t in texts.items():
+        if roots[i] == i and i not in leaked:
+            ids = own.encode_ordinary(masked(t))
+            want[i] = len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(masked(t).encode()).hexdigest()
+    assert {r[0]: tuple(r)[1:] for r in corpus_pipeline.run(spark, sf).collect()} == want
+
+
 def test_language(spark, sf):
     got = {r["doc_id"]: r for r in langid.op2_language(spark, sf).collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
