@@ -57,19 +57,27 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", id_column: str
     """(doc_id, item_id, compared, matched): documents that hold a passage of an item; matched of compared tokens are equal in the best window."""
     known = keep(seed_table(items, text, item_column))
     count = known.count()
-    at = F.col("p") - F.col("before")
-    same = F.transform(F.col("around"), lambda x, k: F.when(F.get("h", at + k) == x, 1).otherwise(0))
-    width = F.least(F.lit(WINDOW), F.size("around"))
-    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - F.col("compared") + 1), lambda s: F.aggregate(F.slice("same", s, F.col("compared")), F.lit(0), lambda a, x: a + x)))
-    return (
-        docs.select(F.col(id_column).alias("doc"), token_hashes(text).alias("h"))
-        .where(F.size("h") >= 4)
+    # Of the document's tokens only those that an item's window can cover leave the join.
+    first = F.col("p") - F.col("before")
+    near = F.slice("h", F.greatest(first, F.lit(0)) + 1, F.lit(2 * WINDOW + 5))
+    lost = F.greatest(-first, F.lit(0))
+    hits = (
+        # Row numbers keep Spark from computing hashes twice, in a filter below, and from verifying inside the join, where
+        # rows that hold a whole document would be copied for every position.
+        docs.select(F.col(id_column).alias("doc"), token_hashes(text).alias("h"), F.monotonically_increasing_id().alias("row"))
+        .where((F.size("h") >= 4) & (F.col("row") >= 0))
         .select("doc", "h", F.size("h").alias("n"), F.explode(F.sequence(F.lit(0), F.size("h") - 4)).alias("p"))
         .select("doc", "h", "p", F.explode(seeds(F.col("h"), F.col("n"), F.col("p"))).alias("seed"))
         .join(small_or_not(known, count, 1_000_000), "seed")
-        .select("doc", "items", same.alias("same"), width.alias("compared"))
-        .select("doc", "items", "compared", best.alias("matched"))
-        .where(F.col("matched") >= F.ceil(F.col("compared") * IDENTITY))
+        .select("doc", "items", "around", near.alias("near"), lost.alias("lost"), F.monotonically_increasing_id().alias("hit"))
+    )
+    same = F.transform(F.col("around"), lambda x, k: F.when((k >= F.col("lost")) & (F.get("near", k - F.col("lost")) == x), 1).otherwise(0))
+    width = F.least(F.lit(WINDOW), F.size("around"))
+    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - F.col("compared") + 1), lambda s: F.aggregate(F.slice("same", s, F.col("compared")), F.lit(0), lambda a, x: a + x)))
+    return (
+        hits.select("doc", "items", "hit", same.alias("same"), width.alias("compared"))
+        .select("doc", "items", "hit", "compared", best.alias("matched"))
+        .where((F.col("matched") >= F.ceil(F.col("compared") * IDENTITY)) & (F.col("hit") >= 0))
         .select("doc", F.explode("items").alias("item"), "compared", "matched")
         .groupBy("doc", "item")
         .agg(F.max(F.struct("matched", "compared")).alias("best"))
@@ -83,8 +91,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Pipeline stage: the documents without a leak; rows without an id stay."""
-    gone = keep(leaks(docs, items).where("doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(small_or_not(gone, gone.count()), F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = keep(leaks(docs, items).where("doc_id is not null").select(F.col("doc_id").alias("gone")).distinct())
+    # one column holds the row, so that no name of it can clash
+    rows = docs.select(F.struct("*").alias("doc"))
+    return rows.join(small_or_not(gone, gone.count()), F.col("doc.doc_id") == F.col("gone"), "left_anti").select("doc.*")
 
 
 OP8_SQL = r"""
