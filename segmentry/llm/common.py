@@ -29,9 +29,10 @@ def fold(column: str, k: int) -> Column:
 
 
 def once(key, build):
-    """build() of this Python worker; kept for the worker's later tasks."""
+    """build() of this Python worker, kept for the worker's later tasks until something else is built."""
     kept = sys.__dict__.setdefault("_segmentry_worker", {})
     if key not in kept:
+        kept.clear()
         kept[key] = build()
     return kept[key]
 

@@ -38,7 +38,7 @@ LONGEST = 24
 #: Most characters of a piece that is used.
 PIECE = 8
 #: Distinct space-separated tokens that a worker holds at one time.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Added to every expected count.
 SMOOTHING = 0.05
 UNKNOWN = 0
