@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import tempfile
 
@@ -28,11 +31,19 @@ def fold(column: str, k: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % k, F.lit(0))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def once(key, build):
     """build() of this Python worker, kept for the worker's later tasks until something else is built."""
     kept = sys.__dict__.setdefault("_segmentry_worker", {})
     if key not in kept:
         kept.clear()
+        give_back()
         kept[key] = build()
     return kept[key]
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, once, table
+from .common import fold, give_back, once, table
 
 MARK = "▁"
 #: Most letters that are scored as one word.
@@ -166,6 +166,7 @@ def learn(train: DataFrame, pieces: list[str], text: str = "text", lang: str = "
                 if words:
                     totals[g] = totals.get(g, 0) + lattice.expected(list(words), np.array(list(words.values()), float), flat)
             counts.clear()
+            give_back()
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
