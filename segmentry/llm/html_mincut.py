@@ -7,8 +7,9 @@ places in the document tree, and each block with the last one in the same contai
 cut, found by max-flow, labels the blocks; blocks whose terminal capacity exceeds all their other
 edges are labelled beforehand, which changes no minimum cut.
 
-Scripts, styles, forms' controls, the head and comments in the markup never make blocks. Tags may be
-unclosed, closed twice or cut off at the end of the page.
+Scripts, styles, titles, forms' controls and comments in the markup never make blocks; the head ends at the first
+text or element that can't be in it. Tags may be unclosed, closed twice or cut off at the end of the page: a hidden
+element without its end tag ends with the element around it (scripts and styles: with the page).
 
 Results for odd rows: null or empty html, and pages without content, give an empty text; repeated
 rows give equal values; nothing is dropped or capped by length.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import per_slice, table
 
 #: Elements that never hold readable text, elements that part blocks, and void elements.
-HIDDEN = frozenset("script style noscript template svg math head title iframe object canvas audio video select textarea button datalist noembed noframes xmp map".split())
+HIDDEN = frozenset("script style noscript template svg math title iframe object canvas audio video select textarea button datalist noembed noframes xmp map".split())
 BLOCKS = frozenset("html body address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -42,7 +43,10 @@ LAYOUT = re.compile(r"^(has|with|no|layout|page|wrapper|wrap|container|row|col|g
 
 TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-HIDDEN_END = {name: re.compile(rf"</{name}\s*[^>]*(?:>|\Z)", re.I) for name in HIDDEN}
+HIDDEN_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in HIDDEN}
+#: Hidden elements without markup in them; CODE may hold anything that looks like tags.
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+CODE = frozenset("script style xmp".split())
 
 PLAIN, ARTICLE, LIGHT, BOILER = range(4)
 
@@ -77,6 +81,42 @@ def clue(name: str, attributes: str, above: int) -> int:
     return above
 
 
+class Ends:
+    """Where the hidden elements of a page end."""
+
+    def __init__(self, page: str):
+        self.page, self.next = page, {}
+
+    def own(self, name: str, at: int) -> tuple[int, int]:
+        """Start and end of the next end tag of the name, the end of the page if there is none."""
+        found = self.next.get(name)
+        if found is None or found[0] < at:
+            m = HIDDEN_END[name].search(self.page, at)
+            found = self.next[name] = m.span() if m else (len(self.page), len(self.page))
+        return found
+
+    def after(self, name: str, at: int, around: set[str]) -> int:
+        """The place behind an element whose start tag ends at `at`, inside open block elements `around`."""
+        start, end = self.own(name, at)
+        if name in CODE or name in RAW and start < len(self.page):
+            return end
+        inner: dict[str, int] = {}
+        while (m := TAG.search(self.page, at, start)) is not None:
+            at, tag, closing = m.end(), (m[2] or m[5] or "").lower(), bool(m[1] or m[4])
+            if "body" not in around and (tag == "head" and closing or tag == "body" and not closing):
+                return m.start()
+            if tag in CODE and not closing:
+                at = min(self.own(tag, at)[1], start)
+            elif tag in BLOCKS and tag not in VOID:
+                if not closing:
+                    inner[tag] = inner.get(tag, 0) + 1
+                elif inner.get(tag):
+                    inner[tag] -= 1
+                elif tag in around:
+                    return m.start()
+        return end
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order, with white space settled and references decoded."""
     out: list[Block] = []
@@ -102,7 +142,7 @@ def blocks_of(page: str) -> list[Block]:
                 out.append(b)
         state["linked"] = 0
 
-    at, end = 0, len(page)
+    at, end, ends = 0, len(page), Ends(page)
     while at < end:
         m = TAG.search(page, at)
         if m is None:
@@ -117,8 +157,7 @@ def blocks_of(page: str) -> list[Block]:
         name, closing, attributes = name.lower(), bool(m[1] or m[4]), m[3] if m[2] else m[6]
         if name in HIDDEN:
             if not closing and not attributes.endswith("/"):
-                stop = HIDDEN_END[name].search(page, at)
-                at = stop.end() if stop else end
+                at = ends.after(name, at, {s[0] for s in stack})
             continue
         if name == "a":
             state["link"] = 0 if closing else 1

@@ -253,6 +253,22 @@ def test_main_text():
         html_mincut.main_text(broken)
 
 
+def test_hidden_elements_may_be_unclosed():
+    article = "Paragraph of the article, which is long enough to count as content by itself, surely."
+    for page in (
+        f"<head><title>x</title><body><p>{article}",
+        f"<html><head><meta charset=utf-8><title>x</title><p>{article}",
+        f"<head><title>x</title><body><header>Site</header><p>{article}</p><header>y</header>",
+        f"<head><noscript><link rel=x><style>a{{}}</style></head><body><p>{article}",
+        f"<head><title>x</head><body><p>{article}</p></body>",
+        *[f"<body><div><{name}>hidden words</div><p>{article}</p></body>" for name in ("noscript", "button", "select", "map", "object", "textarea")],
+        f"<body><div><button>Menu</div><p>{article}</p><button>x</button></body>",
+        f"<body><div><svg><script>'</div>'</script><p>no</p></svg></div><p>{article}</body>",
+        f"<body><script>var a = '</scripted>';</script><p>{article}",
+    ):
+        assert html_mincut.main_text(page) == article, page
+
+
 def test_minimum_cut_is_minimal():
     from itertools import product
 
