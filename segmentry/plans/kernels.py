@@ -129,7 +129,7 @@ def cnmf(x, bounds, c, seed):
         while True:
             found = runs(frame_labels(f, rank, c["R"], c["niters"], seed))
             # a rank beyond the frames can't find more
-            if len(found) > 2 or rank >= min(n, c.get("max_rank", 12)):
+            if len(found) > 2 or rank >= n:
                 break
             rank += 1
         bounds = ends(found, n)

@@ -457,7 +457,7 @@ def queries():
         "segment_sf_fmc2d": segmented("sf", "fmc2d"),
         "segment_foote": segmented("foote", M_gaussian=16, m_median=4, L_peaks=8),
         "segment_cbm": segmented("cbm"),
-        "segment_cnmf": segmented("cnmf", "cnmf", niters=100),
+        "segment_cnmf": segmented("cnmf", "cnmf"),
         "segment_olda": segmented("olda"),
         "segment_scluster": segmented("scluster"),
         "segment_scluster_hierarchy": segmented("scluster", hier=True),

@@ -112,6 +112,28 @@ def test_every_pair_of_algorithms_keeps_the_invariants(spark, sf):
         api.segment(p, "sf", hier=True)
 
 
+def test_convex_factorisation_is_not_cut_short(monkeypatch):
+    from segmentry import queries as own
+    from segmentry.plans import kernels as K
+    from segmentry.plans import registry as G
+
+    ranks = []
+
+    def labels(x, rank, *rest):
+        ranks.append(rank)
+        return np.arange(len(x)) // 10 if rank >= 15 else np.zeros(len(x), int)
+
+    defaults = G.ALGORITHMS["cnmf"].defaults
+    assert K.cnmf(np.ones((40, 3)), None, defaults, 0)[0].tolist()[0] == 0
+    monkeypatch.setattr(K, "frame_labels", labels)
+    assert len(K.cnmf(np.ones((40, 3)), None, defaults, 0)[0]) == 5 and ranks == [*range(3, 16), 4]
+
+    monkeypatch.setattr(own.api, "segment", lambda packed, b, l, hier, **params: G.configuration(b, l, **params))
+    monkeypatch.setattr(own.src, "events_packed", lambda *a: None)
+    monkeypatch.setattr(own, "seconds", lambda p: p)
+    assert own.queries()["segment_cnmf"](None, "")["niters"] == defaults["niters"] == 500
+
+
 def test_block_matching_finds_the_block_change(spark):
     from segmentry.plans import registry as G
     from segmentry.plans import relational as R
