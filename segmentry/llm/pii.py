@@ -1,18 +1,18 @@
 """Information-theoretic sanitisation of personal data.
 
-Protected entities are the base findings (see KINDS). For every document that holds one, the terms
-in a window of NEAR tokens on either side are gathered. Over the corpus, the co-occurrence of a term
-t with an entity e says how far t gives e away: the share of the documents with t that hold e nearby,
-and the pointwise mutual information of both in bits. Pairs with SUPPORT or more different contexts, a
-share of at least SHARE and at least GENERALISE bits are disclosing: in the windows of that entity
-the term becomes a span of kind `term`. `sanitise` puts a placeholder for base findings, generalises
+Protected entities are the base findings (see KINDS). Over the corpus, the co-occurrence of a term
+t with an entity e in whole documents says how far t gives e away: the share of the documents with t that
+hold e, and the pointwise mutual information of both in bits. Pairs with SUPPORT or more different contexts, a
+share of at least SHARE and at least GENERALISE bits are disclosing: in every document that holds that entity
+all places of the term become spans of kind `term`. The contexts of an entity are the sets of terms within NEAR
+tokens on either side of it; a document adds those with the term in them, or else one. `sanitise` puts a placeholder for base findings, generalises
 disclosing terms, and removes those of REMOVE bits or more.
 
 Document counts of terms are taken over all documents; a worker counts only terms that occur in
 supported pairs, as a set if their number is within BROADCAST_TERMS, else by a join.
 
 Results for odd rows: a null text counts as empty; empty texts have no spans, and base_sha256 is that of the
-empty string; every input row gives one row (a null doc_id too). Equal windows, as in exact copies, count as one
+empty string; every input row gives one row (a null doc_id too). Equal contexts, as in exact copies, count as one
 context, so copies alone disclose nothing.
 """
 
@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +44,7 @@ cards = re.compile(r"[0-9](?:[ -]?[0-9])+").finditer
 phones = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
 digit = re.compile("[0-9]").search
 tokens_in = re.compile(r"\S+").finditer
+LEAD = re.compile(r"^[\W_]+")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -90,7 +93,7 @@ def term_of(token: str) -> str:
 
 
 def windows(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """For every base span its entity, a hash of its context, and the terms near it with their places."""
+    """For every base span its entity, a hash of its context, and the terms near it."""
     import xxhash
 
     out = []
@@ -102,28 +105,44 @@ def windows(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
         terms = []
         for a, b in before + after:
             if not any(a < y and x < b for x, _, y in spans) and (t := term_of(text[a:b])):
-                lead = len(text[a:b]) - len(re.sub(r"^[\W_]+", "", text[a:b]))
-                terms.append({"t": t, "s": a + lead, "x": a + lead + len(EDGES.sub("", text[a:b]))})
+                terms.append(t)
         value = text[s:e].lower() if k < 2 else "".join(c for c in text[s:e] if c.isdigit())
-        context = xxhash.xxh64_intdigest("\n".join(sorted({t["t"] for t in terms}))) - (1 << 63)
+        context = xxhash.xxh64_intdigest("\n".join(sorted(set(terms)))) - (1 << 63)
         out.append({"e": f"{KINDS[k]}:{value}", "ctx": context, "terms": terms})
     return out
 
 
-WINDOWS = "array<struct<e:string,ctx:long,terms:array<struct<t:string,s:int,x:int>>>>"
+def places(text: str, spans: list[tuple[int, int, int]], known: dict[str, str]) -> dict[str, list[tuple[int, int]]]:
+    """The places of every term of the text outside base spans; known remembers terms of tokens."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    if len(known) > REMEMBERED:
+        known.clear()
+    # ends of the spans so far, so that one look finds an overlap
+    starts, ends = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
+    for m in tokens_in(text):
+        token, (a, b) = m.group(), m.span()
+        if (t := known.get(token)) is None:
+            t = known[token] = term_of(token)
+        if t and not ((k := bisect_left(starts, b)) and ends[k - 1] > a):
+            lead = len(token) - len(LEAD.sub("", token))
+            out.setdefault(t, []).append((a + lead, a + lead + len(EDGES.sub("", token))))
+    return out
+
+
+WINDOWS = "array<struct<e:string,ctx:long,terms:array<string>>>"
+SPANS = "array<struct<s:int,k:int,x:int,kind:string>>"
 
 
 def base(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """(row, doc_id, base array<struct<s,k,x,kind>>, windows) of every row; row numbers the rows."""
-    term = pa.struct([("t", pa.string()), ("s", pa.int32()), ("x", pa.int32())])
+    """(row, doc_id, base array<struct<s,k,x,kind>>, windows, held) of every row; row numbers the rows, held is the text if it has findings."""
     span = pa.struct([("s", pa.int32()), ("k", pa.int32()), ("x", pa.int32()), ("kind", pa.string())])
-    schema = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(span)), ("windows", pa.list_(pa.struct([("e", pa.string()), ("ctx", pa.int64()), ("terms", pa.list_(term))])))])
+    schema = pa.schema([("doc_id", pa.int64()), ("base", pa.list_(span)), ("windows", pa.list_(pa.struct([("e", pa.string()), ("ctx", pa.int64()), ("terms", pa.list_(pa.string()))]))), ("held", pa.string())])
 
     def f(ids, texts):
         found = [base_spans(t or "") for t in texts]
-        return [ids, [[{"s": s, "k": k, "x": e, "kind": KINDS[k]} for s, k, e in x] for x in found], [windows(t or "", x) for t, x in zip(texts, found)]]
+        return [ids, [[{"s": s, "k": k, "x": e, "kind": KINDS[k]} for s, k, e in x] for x in found], [windows(t or "", x) for t, x in zip(texts, found)], [t if x else None for t, x in zip(texts, found)]]
 
-    out = docs.select(F.col(id_column).cast("long"), text).mapInArrow(per_slice(lambda: f, schema), f"doc_id long, base array<struct<s:int,k:int,x:int,kind:string>>, windows {WINDOWS}")
+    out = docs.select(F.col(id_column).cast("long"), text).mapInArrow(per_slice(lambda: f, schema), f"doc_id long, base {SPANS}, windows {WINDOWS}, held string")
     return keep(out.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -164,25 +183,86 @@ def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
     return counted if few else counted.join(terms, "t", "left_semi")
 
 
+def pairs_of(found: DataFrame) -> DataFrame:
+    """(row, e, t, ctx, first): every term of a document with every entity in it of SUPPORT or more contexts; first is 1 once for each row, e and t.
+
+    Every term of such a document has a row with a null e too.
+    """
+    near = found.select("row", F.inline("windows"))
+    # an entity of fewer contexts is in no supported pair
+    able = keep(near.groupBy("e").agg(F.count_distinct("ctx").alias("contexts")).where(F.col("contexts") >= SUPPORT).select("e"))
+    by_row = near.join(small_or_not(able, able.count()), "e").groupBy("row").agg(F.collect_list(F.struct("e", "ctx", "terms")).alias("windows"))
+    schema = pa.schema([("row", pa.int64()), ("e", pa.string()), ("t", pa.string()), ("ctx", pa.int64()), ("first", pa.int64())])
+
+    def run(batches):
+        known, out = {}, []
+
+        def emit():
+            made = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(schema)], schema=schema)
+            out.clear()
+            return made
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row, spans, text, found = (c.slice(at, 1).to_pylist()[0] for c in batch.columns)
+                terms = places(text, [(x["s"], x["k"], x["x"]) for x in spans], known)
+                least, near = {}, {}
+                for w in found:
+                    least[w["e"]] = min(w["ctx"], least.get(w["e"], w["ctx"]))
+                    for t in w["terms"]:
+                        near.setdefault((w["e"], t), set()).add(w["ctx"])
+                out += [(row, None, t, 0, 1) for t in terms]
+                for e, ctx in least.items():
+                    for t in terms:
+                        for k, c in enumerate(near.get((e, t)) or (ctx,)):
+                            out.append((row, e, t, c, int(not k)))
+                    if len(out) > 50_000:
+                        yield emit()
+        yield emit()
+
+    return found.select("row", "base", "held").join(by_row, "row").mapInArrow(run, "row long, e string, t string, ctx long, first long")
+
+
 def disclosing(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """(e, t, bits): the pairs whose term gives the entity away."""
-    near = found.select("row", F.inline("windows"))
-    n_e = near.select("e", "row").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    pairs = near.select("row", "e", "ctx", F.explode("terms.t").alias("t")).distinct()
-    pairs = keep(pairs.groupBy("e", "t", "ctx").agg(F.count("*").alias("n")).groupBy("e", "t").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT))
+    n_e = found.select("row", F.inline("windows")).select("e", "row").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
+    pairs = pairs_of(found).groupBy("e", "t", "ctx").agg(F.sum("first").alias("n"))
+    pairs = keep(pairs.groupBy("e", "t").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts")).where((F.col("contexts") >= SUPPORT) | F.col("e").isNull()))
     n = found.count()
     bits = F.log2(F.col("n_te").cast("double") * n / (F.col("n_t") * F.col("n_e")))
-    joined = pairs.join(term_counts(docs, pairs.select("t").distinct(), text), "t").join(n_e, "e")
-    return keep(joined.where((F.col("n_te") >= SHARE * F.col("n_t")) & (bits >= GENERALISE)).select("e", "t", bits.alias("bits")))
+
+    def giving(counts):
+        return counted.join(counts, "t").where((F.col("n_te") >= SHARE * F.col("n_t")) & (bits >= GENERALISE))
+
+    counted = pairs.where("e is not null").join(n_e, "e")
+    # a term is in no fewer documents than those seen here, so pairs that fail with this number fail with the whole one
+    counted = keep(giving(pairs.where("e is null").select("t", F.col("n_te").alias("n_t"))).drop("n_t"))
+    return keep(giving(term_counts(docs, counted.select("t").distinct(), text)).select("e", "t", bits.alias("bits")))
 
 
 def find(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(doc_id, base, spans): spans in order, array<struct<s,k,x,kind,bits>>, base findings and disclosing terms."""
     found = base(docs, text, id_column)
     pairs = disclosing(docs, found, text)
-    near = found.select("row", F.inline("windows")).select("row", "e", F.inline("terms"))
-    terms = near.join(small_or_not(pairs, pairs.count()), ["e", "t"]).groupBy("row", "s", "x").agg(F.max("bits").alias("bits"))
-    terms = terms.groupBy("row").agg(F.collect_list(F.struct("s", F.lit(len(KINDS)).alias("k"), "x", F.lit("term").alias("kind"), "bits")).alias("terms"))
+    terms = pairs_of(found).where("first = 1").select("row", "e", "t").join(small_or_not(pairs, pairs.count()), ["e", "t"]).groupBy("row", "t").agg(F.max("bits").alias("bits"))
+    terms = terms.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("t", "bits"))).alias("bits"))
+    span = pa.struct([("s", pa.int32()), ("k", pa.int32()), ("x", pa.int32()), ("kind", pa.string()), ("bits", pa.float64())])
+    schema = pa.schema([("row", pa.int64()), ("terms", pa.list_(span))])
+
+    def make():
+        known = {}
+
+        def f(rows, spans, texts, bits):
+            out = []
+            for own, t, b in zip(spans, texts, bits):
+                b = dict(b)
+                at = places(t, [(x["s"], x["k"], x["x"]) for x in own], known)
+                out.append([{"s": s, "k": len(KINDS), "x": e, "kind": "term", "bits": b[t]} for t in b for s, e in at[t]])
+            return [rows, out]
+
+        return f
+
+    terms = found.select("row", "base", "held").join(terms, "row").mapInArrow(per_slice(make, schema), "row long, terms array<struct<s:int,k:int,x:int,kind:string,bits:double>>")
     own = F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k"), b["x"].alias("x"), b["kind"].alias("kind"), F.lit(None).cast("double").alias("bits")))
     return found.join(terms, "row", "left").select("doc_id", "base", F.array_sort(F.when(F.col("terms").isNull(), own).otherwise(F.concat(own, "terms"))).alias("spans"))
 

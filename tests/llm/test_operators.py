@@ -231,6 +231,23 @@ def test_disclosing_terms(spark):
     assert "Zorblatt" not in clean[0] and "[EMAIL]" in clean[0] and clean[15] == rows[11][1]
 
 
+def test_disclosing_terms_of_whole_documents(spark):
+    rng = random.Random(1)
+    rows = [(k, f"Dear Zorblatt, {prose(rng, 60)} write to zor@example.com {prose(rng, 90)} yours, (Zorblatt)") for k in range(6)]
+    # one document alone, and exact copies, disclose nothing
+    rows += [(6, f"Quixnard {prose(rng, 40)} me@example.com {prose(rng, 40)} me@example.com {prose(rng, 30)}")]
+    rows += [(7 + k, "Blimfort " + prose(random.Random(9), 60) + " you@example.com " + prose(random.Random(8), 20)) for k in range(3)]
+    rows += [(10 + k, prose(rng, 30)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert not any("Zorblatt" in clean[k] for k in range(6))
+    assert "Quixnard" in clean[6] and all("Blimfort" in clean[7 + k] for k in range(3))
+    found = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    for k in range(6):
+        want = [(m.start(), m.end()) for m in re.finditer("Zorblatt", rows[k][1])]
+        assert [(s["s"], s["x"]) for s in found[k] if s["kind"] == "term" and rows[k][1][s["s"] : s["x"]] == "Zorblatt"] == want
+
+
 def test_quality(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")  # the smallest tables have 68 training labels
     got = {r["doc_id"]: r["score"] for r in quality.op5_quality(spark, sf).collect()}
