@@ -128,7 +128,7 @@ def test_language(spark, sf):
     assert sum(got[d["doc_id"]]["lang_pred"] == d["lang"] for d in held) >= 0.95 * len(held)
 
 
-def test_forward_sum_is_that_of_all_segmentations():
+def test_forward_sum_is_that_of_all_segmentations(monkeypatch):
     pieces = ["", langid.MARK, langid.MARK + "a", "a", "b", "ab", "ba", "aba"]
     lattice, index = langid.Lattice(pieces), {p: k for k, p in enumerate(pieces)}
     model = np.random.default_rng(0).random((8, 2))
@@ -138,10 +138,85 @@ def test_forward_sum_is_that_of_all_segmentations():
             return 1.0
         return sum(model[index[w[:n]], g] * brute(w[n:], g) for n in range(1, len(w) + 1) if w[:n] in index)
 
-    for w in ("a", "ab", "abab", "babab"):
-        assert np.allclose(np.exp(lattice.log_probability([w], model)[0]), [brute(langid.MARK + w, g) for g in (0, 1)])
-    uses = lattice.expected(["abab", "ba"], np.array([2.0, 1.0]), model[:, 0])
-    assert uses.sum() > 0 and uses[0] == 0
+    def ways(w):
+        if not w:
+            return [[]]
+        return [[w[:n], *rest] for n in range(1, len(w) + 1) if w[:n] in index for rest in ways(w[n:])]
+
+    def uses_of(word, times):
+        total = np.zeros(len(pieces))
+        for way in (all_ways := ways(langid.MARK + word)):
+            for p in way:
+                total[index[p]] += times * np.prod([model[index[q], 0] for q in way])
+        return total / sum(np.prod([model[index[q], 0] for q in way]) for way in all_ways)
+
+    # summed side by side, and each on its own with scaled sums
+    for limit in (langid.SIDE_BY_SIDE, 0):
+        monkeypatch.setattr(langid, "SIDE_BY_SIDE", limit)
+        for w in ("a", "ab", "abab", "babab"):
+            assert np.allclose(np.exp(lattice.log_probability([w], model)[0]), [brute(langid.MARK + w, g) for g in (0, 1)])
+        assert np.allclose(lattice.expected(["abab", "ba"], np.array([[2.0], [1.0]]), model[:, 0])[:, 0], uses_of("abab", 2) + uses_of("ba", 1))
+    long = lattice.log_probability(["ab" * 4000], model)
+    assert np.isfinite(long).all() and np.isfinite(lattice.expected(["ab" * 4000], np.ones((1, 1)), model[:, 0])).all()
+
+
+def test_language_equals_plain_forward_sums(spark, sf):
+    """The whole query against one word at a time, without hashing, sharing or cuts."""
+    import math
+    from collections import Counter
+
+    import regex
+
+    pieces = langid.read_pieces(langid.vocabulary())
+    known, longest = set(pieces[1:]), max(map(len, pieces))
+
+    def spans(w):
+        return [(i, j, w[i:j] if w[i:j] in known else "") for j in range(1, len(w) + 1) for i in range(max(0, j - longest), j) if w[i:j] in known or j == i + 1]
+
+    def expected(w):
+        f, b, p = [1.0] + [0.0] * len(w), [0.0] * len(w) + [1.0], 1 / len(pieces)
+        for i, j, _ in (own := spans(w)):
+            f[j] += f[i] * p
+        for i, j, _ in sorted(own, key=lambda s: -s[0]):
+            b[i] += b[j] * p
+        return [(q, f[i] * p * b[j] / f[-1]) for i, j, q in own]
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    words = {d["doc_id"]: Counter(langid.MARK + w for w in regex.findall(r"\p{L}+", (d["text"] or "").lower())) for d in docs}
+    counts = {}
+    for d in docs:
+        if d["lang"] is not None and zlib.crc32(str(d["doc_id"]).encode()) % 4 != 2:
+            counts.setdefault(d["lang"], Counter()).update(words[d["doc_id"]])
+    model = {}
+    for g, c in counts.items():
+        uses = Counter()
+        for w, n in c.items():
+            for q, x in expected(w):
+                uses[q] += n * x
+        whole = sum(uses.values()) + langid.SMOOTHING * len(pieces)
+        model[g] = {q: (uses[q] + langid.SMOOTHING) / whole for q in pieces}
+
+    def log_sum(w, m):
+        f = [1.0] + [0.0] * len(w)
+        for i, j, q in spans(w):
+            f[j] += f[i] * m[q]
+        return math.log(f[-1])
+
+    got = {r["doc_id"]: r for r in langid.op2_language(spark, sf).collect()}
+    for i, own in list(words.items())[::5]:
+        if max(map(len, own), default=0) > 25:  # this version has no scaled sums
+            continue
+        total = {g: sum(n * log_sum(w, m) for w, n in own.items()) for g, m in sorted(model.items())}
+        best = max(total, key=total.get) if own else langid.UNDETERMINED
+        assert got[i]["lang_pred"] == best
+        assert not own or abs(got[i]["score"] - 1 / sum(math.exp(x - total[best]) for x in total.values())) < 1e-6
+
+
+def test_letters(spark):
+    pieces = langid.read_pieces(langid.vocabulary())
+    docs = spark.createDataFrame([(1, "½ ² Ⅷ ③ 12"), (2, None), (3, ""), (4, "ÀB"), (5, "x" * 30_000)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, pieces, ["aa"], np.full((len(pieces), 1), 1 / len(pieces))).collect()}
+    assert got == {1: ("und", 0.0), 2: ("und", 0.0), 3: ("und", 0.0), 4: ("aa", 1.0), 5: ("aa", 1.0)}
 
 
 def test_fingerprints_and_components(spark, sf):
