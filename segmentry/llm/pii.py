@@ -8,8 +8,9 @@ all places of the term become spans of kind `term`. The contexts of an entity ar
 tokens on either side of it; a document adds those with the term in them, or else one. `sanitise` puts a placeholder for base findings, generalises
 disclosing terms, and removes those of REMOVE bits or more.
 
-Document counts of terms are taken over all documents; a worker counts only terms that occur in
-supported pairs, as a set if their number is within BROADCAST_TERMS, else by a join.
+Document counts of terms are taken over all documents, for the terms that can still be disclosing: counts in a part of
+the documents bound the whole counts from below, and a pair that fails with the bound fails with the whole count, so no
+result depends on the part. A worker counts wanted terms only, as a set if their number is within BROADCAST_TERMS, else by a join.
 
 Results for odd rows: a null text counts as empty; empty texts have no spans, and base_sha256 is that of the
 empty string; every input row gives one row (a null doc_id too). Equal contexts, as in exact copies, count as one
@@ -20,20 +21,24 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from functools import reduce
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import keep, per_slice, small_or_not, table
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR, REACH = 8, 160
+NEAR = 8
 SUPPORT, SHARE = 2, 0.5
 GENERALISE, REMOVE = 3.0, 8.0
 BROADCAST_TERMS = 500_000
+#: One in so many documents is read for the first lower bounds of term counts.
+FIRST_LOOK = 16
 #: Distinct raw tokens that a counting worker remembers.
 REMEMBERED = 400_000
 
@@ -75,7 +80,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) in order."""
     out = [(s, 0, e) for s, e in emails(text)] if "@" in text else []
     if digit(text):
-        out += [(m.start(), 1, m.end()) for m in ips(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        out += [(m.start(), 1, m.end()) for m in ips(text) if all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in m.group().split("."))]
         for m in cards(text):
             if m.end() - m.start() >= 14:
                 d = m.group().replace(" ", "").replace("-", "")
@@ -92,23 +97,34 @@ def term_of(token: str) -> str:
     return term if len(term) >= 3 and any(c.isalpha() for c in term) else ""
 
 
+def merged(spans: list[tuple[int, int, int]]):
+    """overlaps(a, b) of the spans, sorted, in one look."""
+    starts, ends = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
+    return lambda a, b: bool((k := bisect_left(starts, b)) and ends[k - 1] > a)
+
+
 def windows(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """For every base span its entity, a hash of its context, and the terms near it."""
     import xxhash
 
+    if not spans:
+        return []
+    tokens, overlaps, terms = [m.span() for m in tokens_in(text)], merged(spans), {}
+    starts, ends = [a for a, _ in tokens], [b for _, b in tokens]
+
+    def term_at(k):
+        if k not in terms:
+            a, b = tokens[k]
+            terms[k] = "" if overlaps(a, b) else term_of(text[a:b])
+        return terms[k]
+
     out = []
     for s, k, e in spans:
-        low, high = max(0, s - REACH), min(len(text), e + REACH)
-        # a token that the reach cuts is no term
-        before = [(m.start() + low, m.end() + low) for m in tokens_in(text[low:s]) if m.start() or not low or text[low - 1].isspace()][-NEAR:]
-        after = [(m.start() + e, m.end() + e) for m in tokens_in(text[e:high]) if m.end() < high - e or high == len(text) or text[high].isspace()][:NEAR]
-        terms = []
-        for a, b in before + after:
-            if not any(a < y and x < b for x, _, y in spans) and (t := term_of(text[a:b])):
-                terms.append(t)
+        before, after = bisect_right(ends, s), bisect_left(starts, e)
+        near = [t for i in (*range(max(0, before - NEAR), before), *range(after, min(len(tokens), after + NEAR))) if (t := term_at(i))]
         value = text[s:e].lower() if k < 2 else "".join(c for c in text[s:e] if c.isdigit())
-        context = xxhash.xxh64_intdigest("\n".join(sorted(set(terms)))) - (1 << 63)
-        out.append({"e": f"{KINDS[k]}:{value}", "ctx": context, "terms": terms})
+        context = xxhash.xxh64_intdigest("\n".join(sorted(set(near)))) - (1 << 63)
+        out.append({"e": f"{KINDS[k]}:{value}", "ctx": context, "terms": near})
     return out
 
 
@@ -117,13 +133,12 @@ def places(text: str, spans: list[tuple[int, int, int]], known: dict[str, str])
     out: dict[str, list[tuple[int, int]]] = {}
     if len(known) > REMEMBERED:
         known.clear()
-    # ends of the spans so far, so that one look finds an overlap
-    starts, ends = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
+    overlaps = merged(spans)
     for m in tokens_in(text):
         token, (a, b) = m.group(), m.span()
         if (t := known.get(token)) is None:
             t = known[token] = term_of(token)
-        if t and not ((k := bisect_left(starts, b)) and ends[k - 1] > a):
+        if t and not overlaps(a, b):
             lead = len(token) - len(LEAD.sub("", token))
             out.setdefault(t, []).append((a + lead, a + lead + len(EDGES.sub("", token))))
     return out
@@ -146,11 +161,10 @@ def base(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> Data
     return keep(out.withColumn("row", F.monotonically_increasing_id()))
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """(t, n_t): the documents that hold each of the terms, over all documents; terms: (t), distinct."""
-    terms = keep(terms)
+def term_counts(texts: DataFrame, terms: DataFrame, plain: bool) -> DataFrame:
+    """(t, n): how many of the texts, a table of one column, hold each of the terms; terms: (t), distinct and kept. Where plain is set, texts with findings don't count."""
     few = terms.count() <= BROADCAST_TERMS
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r["t"] for r in terms.collect()) if few else None)
+    wanted = texts.sparkSession.sparkContext.broadcast(frozenset(r["t"] for r in terms.collect()) if few else None)
     schema = pa.schema([("t", pa.string()), ("n", pa.int64())])
 
     def run(batches):
@@ -166,7 +180,9 @@ def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for text in batch.column(0).slice(at, 256).to_pylist():
-                    tokens = set((text or "").split())
+                    if not text or plain and base_spans(text):
+                        continue
+                    tokens = set(text.split())
                     for token in tokens - seen:
                         if (t := term_of(token)) and (only is None or t in only):
                             hits[token] = t
@@ -179,18 +195,22 @@ def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
                     yield emit()
         yield emit()
 
-    counted = docs.select(text).mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
+    counted = texts.mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
     return counted if few else counted.join(terms, "t", "left_semi")
 
 
-def pairs_of(found: DataFrame) -> DataFrame:
+def able_entities(found: DataFrame) -> DataFrame:
+    """(e): the entities of SUPPORT or more contexts; one of fewer is in no supported pair."""
+    near = found.select(F.inline("windows"))
+    return keep(near.groupBy("e").agg(F.count_distinct("ctx").alias("contexts")).where(F.col("contexts") >= SUPPORT).select("e"))
+
+
+def pairs_of(found: DataFrame, able: DataFrame) -> DataFrame:
     """(row, e, t, ctx, first): every term of a document with every entity in it of SUPPORT or more contexts; first is 1 once for each row, e and t.
 
     Every term of such a document has a row with a null e too.
     """
     near = found.select("row", F.inline("windows"))
-    # an entity of fewer contexts is in no supported pair
-    able = keep(near.groupBy("e").agg(F.count_distinct("ctx").alias("contexts")).where(F.col("contexts") >= SUPPORT).select("e"))
     by_row = near.join(small_or_not(able, able.count()), "e").groupBy("row").agg(F.collect_list(F.struct("e", "ctx", "terms")).alias("windows"))
     schema = pa.schema([("row", pa.int64()), ("e", pa.string()), ("t", pa.string()), ("ctx", pa.int64()), ("first", pa.int64())])
 
@@ -223,28 +243,46 @@ def pairs_of(found: DataFrame) -> DataFrame:
     return found.select("row", "base", "held").join(by_row, "row").mapInArrow(run, "row long, e string, t string, ctx long, first long")
 
 
-def disclosing(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
-    """(e, t, bits): the pairs whose term gives the entity away."""
-    n_e = found.select("row", F.inline("windows")).select("e", "row").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    pairs = pairs_of(found).groupBy("e", "t", "ctx").agg(F.sum("first").alias("n"))
+def disclosing(docs: DataFrame, found: DataFrame, able: DataFrame, text: str = "text") -> DataFrame:
+    """(e, t, bits): the pairs whose term gives the entity away.
+
+    The documents that hold a term are counted in three parts: those with an able entity while their pairs are made,
+    then, for the terms that can still be disclosing, those with other findings only and those without any.
+    """
+    entities = found.select("row", F.inline("windows")).select("e", "row").distinct()
+    n_e = entities.groupBy("e").agg(F.count("*").alias("n_e"))
+    pairs = pairs_of(found, able).groupBy("e", "t", "ctx").agg(F.sum("first").alias("n"))
     pairs = keep(pairs.groupBy("e", "t").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts")).where((F.col("contexts") >= SUPPORT) | F.col("e").isNull()))
     n = found.count()
     bits = F.log2(F.col("n_te").cast("double") * n / (F.col("n_t") * F.col("n_e")))
 
-    def giving(counts):
-        return counted.join(counts, "t").where((F.col("n_te") >= SHARE * F.col("n_t")) & (bits >= GENERALISE))
+    def giving(df):
+        return df.where((F.col("n_te") >= SHARE * F.col("n_t")) & (bits >= GENERALISE))
+
+    # A term is in no fewer documents than those seen so far, so pairs that fail with this number fail with the whole one.
+    # Common words fail after a look at a part of the documents; only for the others are all documents counted.
+    seen = keep(giving(pairs.where("e is not null").join(n_e, "e").join(pairs.where("e is null").select("t", F.col("n_te").alias("n_t")), "t")))
+    able_rows = keep(entities.join(small_or_not(able, able.count()), "e").select("row").distinct())
+    others = found.where("held is not null").join(small_or_not(able_rows, able_rows.count()), "row", "left_anti").select("held")
+    part = F.pmod(F.xxhash64("doc_id", text), F.lit(FIRST_LOOK)) == 0 if "doc_id" in docs.columns else F.pmod(F.xxhash64(text), F.lit(FIRST_LOOK)) == 0
+
+    def with_counts(seen, *counted):
+        terms = keep(seen.select("t").distinct())
+        more = [term_counts(texts, terms, plain) for texts, plain in counted]
+        more = reduce(DataFrame.unionByName, more).groupBy("t").agg(F.sum("n").alias("n"))
+        return seen.join(more, "t", "left").withColumn("n_t", F.col("n_t") + F.coalesce("n", F.lit(0))).drop("n")
 
-    counted = pairs.where("e is not null").join(n_e, "e")
-    # a term is in no fewer documents than those seen here, so pairs that fail with this number fail with the whole one
-    counted = keep(giving(pairs.where("e is null").select("t", F.col("n_te").alias("n_t"))).drop("n_t"))
-    return keep(giving(term_counts(docs, counted.select("t").distinct(), text)).select("e", "t", bits.alias("bits")))
+    seen = keep(giving(with_counts(seen, (docs.where(part).select(text), True), (others, False))))
+    whole = with_counts(seen, (docs.where(~part).select(text), True))
+    return keep(giving(whole).select("e", "t", bits.alias("bits")))
 
 
 def find(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(doc_id, base, spans): spans in order, array<struct<s,k,x,kind,bits>>, base findings and disclosing terms."""
     found = base(docs, text, id_column)
-    pairs = disclosing(docs, found, text)
-    terms = pairs_of(found).where("first = 1").select("row", "e", "t").join(small_or_not(pairs, pairs.count()), ["e", "t"]).groupBy("row", "t").agg(F.max("bits").alias("bits"))
+    able = able_entities(found)
+    pairs = disclosing(docs, found, able, text)
+    terms = pairs_of(found, able).where("first = 1").select("row", "e", "t").join(small_or_not(pairs, pairs.count()), ["e", "t"]).groupBy("row", "t").agg(F.max("bits").alias("bits"))
     terms = terms.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("t", "bits"))).alias("bits"))
     span = pa.struct([("s", pa.int32()), ("k", pa.int32()), ("x", pa.int32()), ("kind", pa.string()), ("bits", pa.float64())])
     schema = pa.schema([("row", pa.int64()), ("terms", pa.list_(span))])
@@ -295,15 +333,17 @@ def sanitised(text: str, spans: list[tuple[int, int, int, float | None]]) -> str
     return "".join(out) + text[at:]
 
 
-def sanitise(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """docs with sanitised texts; the id must be unique."""
-    found = find(docs, text, id_column).where(F.size("spans") > 0).select(F.col("doc_id").alias("id"), "spans")
+def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with sanitised texts, a row for each row; the other columns stay as they are."""
+    # one column holds the row, so that no name of it can clash
+    rows = keep(docs.select(F.struct("*").alias("doc"), F.col(text).alias("whole"), F.monotonically_increasing_id().alias("row")))
+    found = find(rows, "whole", "row").where(F.size("spans") > 0).select(F.col("doc_id").alias("found"), "spans")
 
-    @F.udf("string")
-    def clean(t, spans):
-        return t if not spans else sanitised(t, [(x["s"], x["k"], x["x"], x["bits"]) for x in spans])
+    def run(batches):
+        for batch in batches:
+            new = [t if not spans else sanitised(t, [(x["s"], x["k"], x["x"], x["bits"]) for x in spans]) for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["doc", "new"])
 
-    # one column holds the row, so that no name of it can clash
-    rows = docs.select(F.struct("*").alias("doc")).join(found, F.col(f"doc.{id_column}") == F.col("id"), "left")
-    new = F.when(F.col("spans").isNull(), F.col(f"doc.{text}")).otherwise(clean(F.col(f"doc.{text}"), "spans"))
-    return rows.select(*[(new if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns])
+    whole = rows.join(found, F.col("row") == F.col("found"), "left").select("doc", "whole", "spans")
+    made = whole.mapInArrow(run, T.StructType([*rows.select("doc").schema.fields, T.StructField("new", T.StringType())]))
+    return made.select(*[(F.col("new") if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns])

@@ -323,6 +323,65 @@ def test_disclosing_terms_of_whole_documents(spark):
         assert [(s["s"], s["x"]) for s in found[k] if s["kind"] == "term" and rows[k][1][s["s"] : s["x"]] == "Zorblatt"] == want
 
 
+def test_many_findings_in_one_text():
+    import time
+
+    for t, n in (("0" * 5000 + "1.2.3.4", 1), ("0" * 5000 + "1.2.3." + "9" * 5000, 0), ("a@b.co," * 40_000, 40_000), ("x 10.0.0.1 " * 40_000, 40_000), ("1" * 200_000, 0)):
+        began = time.time()
+        spans = pii.base_spans(t)
+        assert len([s for s in spans if s[1] < 2]) == n and len(pii.windows(t, spans)) == len(spans)
+        assert time.time() - began < 5
+
+
+def test_disclosing_terms_equal_brute_force(spark, monkeypatch):
+    """Pairs against counts over whole documents, with broadcast sets and, at limits of 0, with joins."""
+    from collections import defaultdict
+    from math import log2
+
+    rng = random.Random(6)
+    rows = []
+    for k in range(300):
+        words = prose(rng, 30).split()
+        if k % 4 == 0:
+            who = rng.randrange(8)
+            words[rng.randrange(30)] = f"person{who}@x.org"
+            words[rng.randrange(30)] = f"Surname{chr(97 + who)}"
+        if k % 11 == 0:
+            words[3] = f"Surname{chr(97 + rng.randrange(8))}"
+        rows.append((k, " ".join(words)))
+    rows += [(300 + k, rows[k][1]) for k in range(40)] + [(400, None), (401, "")]
+    holds, terms_of, contexts = defaultdict(set), {}, defaultdict(set)
+    for i, t in rows:
+        spans = pii.base_spans(t or "")
+        terms_of[i] = set(pii.places(t or "", spans, {})) if spans else {x for w in (t or "").split() if (x := pii.term_of(w))}
+        for w in pii.windows(t or "", spans):
+            holds[w["e"]].add(i)
+            for x in terms_of[i]:
+                contexts[w["e"], x].add(w["ctx"])
+    n_t = defaultdict(int)
+    for own in terms_of.values():
+        for x in own:
+            n_t[x] += 1
+    want = {}
+    for (e, x), c in contexts.items():
+        both = sum(x in terms_of[i] for i in holds[e])
+        bits = log2(both * len(rows) / (n_t[x] * len(holds[e])))
+        if len(c) >= pii.SUPPORT and both >= pii.SHARE * n_t[x] and bits >= pii.GENERALISE:
+            want[e, x] = round(bits, 9)
+    assert want
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (pii.BROADCAST_TERMS, 0):
+        monkeypatch.setattr(pii, "BROADCAST_TERMS", limit)
+        found = pii.base(docs)
+        assert {(r["e"], r["t"]): round(r["bits"], 9) for r in pii.disclosing(docs, found, pii.able_entities(found)).collect()} == want
+
+
+def test_sanitise_keeps_rows(spark):
+    rows = [(1, "a b.c@d.ef", "x"), (1, "a b.c@d.ef", "y"), (1, "z", "y"), (None, "w 1.2.3.4", "y"), (2, None, "y")]
+    got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, "a [EMAIL]", "x"), (1, "a [EMAIL]", "y"), (1, "z", "y"), (None, "w [IP]", "y"), (2, None, "y")]))
+
+
 def test_quality(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")  # the smallest tables have 68 training labels
     got = {r["doc_id"]: r["score"] for r in quality.op5_quality(spark, sf).collect()}
