@@ -513,6 +513,51 @@ def test_randomness(spark):
     assert got[2] == got[3] == got[10] == []
 
 
+def test_random_keys_of_every_alphabet(spark):
+    rng, rows = random.Random(8), []
+    for name, letters, _, least in secrets_rand.ENCODINGS:
+        rows += [(name, "".join(rng.choice(letters) for _ in range(max(least, 48)))) for _ in range(40)]
+    rows += [("uuid", "-".join("".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (8, 4, 4, 4, 12))) for _ in range(40)]
+    rows += [("slug", "-".join(rng.choice(WORDS) + rng.choice(["ing", "ation", "ment"]) for _ in range(9))) for _ in range(40)]
+    rows += [("path", "/".join(rng.choice(WORDS) + rng.choice(["ing", "ation", "ment"]) for _ in range(9))) for _ in range(40)]
+    rows += [("camel", "".join((rng.choice(WORDS) + rng.choice(["ing", "ation", "ment"])).title() for _ in range(9))) for _ in range(40)]
+    rows += [("digits", "2024-01-31_2024-01-30")] * 40
+    got = secrets_rand.scan(spark.createDataFrame([(k, f"a {t} z") for k, t in rows], "kind string, text string"))
+    caught = {r["kind"]: r["c"] for r in got.groupBy("kind").agg(secrets_rand.F.count_if(secrets_rand.F.size("spans") > 0).alias("c")).collect()}
+    assert all(caught[e[0]] >= 34 for e in secrets_rand.ENCODINGS) and caught["uuid"] >= 34, caught
+    assert caught["slug"] <= 2 and caught["path"] <= 2 and caught["camel"] <= 2 and caught["digits"] == 0, caught
+
+
+def test_many_secrets_in_one_text(spark):
+    """Positions and masks of very many matches, in a text of many parts, cost little more than its length."""
+    import time
+
+    rng = random.Random(9)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(20)) for _ in range(100_000)]
+    text = " ü ".join(hexes)
+    docs = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    began = time.time()
+    spans = secrets_rand.scan(docs).first()["spans"]
+    base = [(s["s"], s["e"]) for s in spans if s["kind"] == "hex"]
+    assert base == [(23 * k, 23 * k + 20) for k in range(100_000)]
+    assert secrets_rand.redact(docs).first()["text"] == " ü ".join([secrets_rand.MASK] * 100_000)
+    assert time.time() - began < 60
+
+
+def test_masks_equal_brute_force(spark, sf):
+    """Every masked text against the spans of the scan, those of the battery too."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    spans = {r["doc_id"]: r["spans"] for r in secrets_rand.scan(docs).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in secrets_rand.redact(docs).collect():
+        out, at, t = "", 0, texts[r["doc_id"]]
+        for s in spans[r["doc_id"]]:
+            if s["s"] >= at:
+                out += t[at : s["s"]] + secrets_rand.MASK
+            at = max(at, s["e"])
+        assert r["text"] == out + t[at:] and r["n_chars"] == len(r["text"])
+
+
 def test_toxicity(spark, tmp_path):
     rng = random.Random(2)
     bad = ["blorfish", "grumpkin", "snarfle"]
