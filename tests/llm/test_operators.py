@@ -504,6 +504,51 @@ def test_substitutions_are_found(spark):
     assert [(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, items).collect()] == [(1, 7)]
 
 
+def test_masks_lose_nothing():
+    from itertools import combinations
+
+    for n in range(decontam.SHORTEST, decontam.WINDOW + 1):
+        changed = next(k for k in range(n) if n - k - 1 < decontam.IDENTITY * n)
+        masks = decontam.LONG if n >= decontam.WINDOW else decontam.SHORT
+        for places in combinations(range(n), changed):
+            assert any(not {s + o for o in m} & set(places) for m in masks for s in range(n - m[-1])), (n, places)
+
+
+def test_leaks_equal_brute_force(spark, monkeypatch):
+    """Windows of every length against all places of all documents; with seeds broadcast, and shuffled."""
+    from math import ceil
+
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(k, [rng.choice(vocabulary) for _ in range(n)]) for k, n in enumerate([3, 4, 5, 7, 8, 9, 10, 11, 12, 13, 14, 20, 40])] + [(None, [rng.choice(vocabulary) for _ in range(15)])]
+    docs = []
+    for k in range(120):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(40))]
+        part = list(items[k % len(items)][1])
+        for _ in range(rng.randrange(4)):
+            part[rng.randrange(len(part))] = rng.choice(vocabulary)
+        at = rng.randrange(len(words) + 1)
+        docs.append((k if k % 17 else None, words[:at] + part + words[at:]))
+    want = {}
+    for d, t in docs:
+        for i, item in items:
+            n = min(len(item), decontam.WINDOW)
+            if n < decontam.EXACT:
+                continue
+            most = max((sum(a == b for a, b in zip(t[p : p + n], item[q : q + n])) for q in range(len(item) - n + 1) for p in range(len(t) - n + 1)), default=0)
+            # a window may reach over the ends of the document
+            for over in range(1, n):
+                for q in range(len(item) - n + 1):
+                    w = item[q : q + n]
+                    most = max(most, sum(a == b for a, b in zip(t, w[over:])), sum(a == b for a, b in zip(t[max(0, len(t) - n + over) :], w[max(0, n - over - len(t)) :])) if len(t) >= n - over else 0)
+            if most >= (n if n < decontam.SHORTEST else ceil(n * decontam.IDENTITY)):
+                want[d, i] = max(want.get((d, i), (0, 0)), (most, n))
+    frames = [spark.createDataFrame([(k, " ".join(t)) for k, t in rows], f"{c} long, text string") for c, rows in (("doc_id", docs), ("item_id", items))]
+    for limit in (decontam.BROADCAST_SEEDS, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_SEEDS", limit)
+        assert {(r["doc_id"], r["item_id"]): (r["matched"], r["compared"]) for r in decontam.leaks(*frames).collect()} == want
+
+
 def test_randomness(spark):
     rng = random.Random(3)
     key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(44))
