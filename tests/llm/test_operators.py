@@ -412,6 +412,7 @@ def test_hidden_elements_may_be_unclosed():
         f"<head><title>x</title><body><header>Site</header><p>{article}</p><header>y</header>",
         f"<head><noscript><link rel=x><style>a{{}}</style></head><body><p>{article}",
         f"<head><title>x</head><body><p>{article}</p></body>",
+        *[f"<body><{name}><p>{article}" for name in ("select", "noscript", "svg")],
         *[f"<body><div><{name}>hidden words</div><p>{article}</p></body>" for name in ("noscript", "button", "select", "map", "object", "textarea")],
         f"<body><div><button>Menu</div><p>{article}</p><button>x</button></body>",
         f"<body><div><svg><script>'</div>'</script><p>no</p></svg></div><p>{article}</body>",
@@ -420,6 +421,48 @@ def test_hidden_elements_may_be_unclosed():
         assert html_mincut.main_text(page) == article, page
 
 
+def test_marks_that_are_none():
+    article = "A sentence of an article that says something of interest. " * 5
+    article = article.strip()
+    for tag in ('section title="a hidden gem"', 'div data-hidden="false"', 'div class="legal-history"', 'div class="post comments-off"', 'div class="share-price-story"', "div class=newsroom", 'div id="adspace-report"'):
+        assert html_mincut.main_text(f"<body><{tag}><p>{article}</p></body>") == article, tag
+    for tag in ("nav", "div hidden", 'div class="cookie-notice"', 'div class="related-posts"', 'div id="site-footer"', 'ul class="x socialShare"', 'div class="user-comments"', 'div style="display: none"', "div role=navigation", 'div class="sidebar"'):
+        assert html_mincut.main_text(f"<body><article><p>{article}</p></article><{tag}><p>{article}</p></body>") == article, tag
+
+
+def test_whole_query_equals_slow_cut(spark):
+    """The query against labels from all cuts of each page's graph, on pages where the cut overrules the texts' own costs."""
+    from itertools import product
+
+    rng = random.Random(7)
+    long = "A sentence of a text that says something of interest, and goes on for some more words."
+    pages = []
+    for k in range(60):
+        parts = [rng.choice(["<article>", "<div>", '<div class="share-price">', "<nav>", "</div>", "</article>", "", '<section class="comments">', '<div class="text">', "<ul><li>"]) + rng.choice([f"<p>{long}</p>", "<p>Short</p>", '<p><a href="x">link me</a></p>', "<h2>Head</h2>"]) for _ in range(rng.randrange(1, 5))]
+        pages.append((k, "u", "<body>" + "".join(parts)))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    weights = html_mincut.learn(df)
+    got, changed = {r["page_id"]: r["text"] for r in html_mincut.extract(df).collect()}, 0
+    for k, _, source in pages:
+        page = html_mincut.Page(source)
+        v, e = page.graph(weights)
+        cost = lambda side: sum(max(0, x) if not s else max(0, -x) for x, s in zip(v, side)) + sum(w for i, j, w in e if side[i] != side[j])
+        cuts = sorted(((cost(side), side) for side in product([False, True], repeat=len(v))), key=lambda c: c[0])
+        least = {tuple(side[: len(page.blocks)]) for c, side in cuts if c < cuts[0][0] + 1e-9}
+        assert got[k] in {"\n\n".join(b.text for b, s in zip(page.blocks, side) if s) for side in least}
+        changed += any(all((x > 0) != s for x, s in zip(v[i : i + 1], side[i : i + 1])) for side in least for i in range(len(page.blocks)))
+    assert changed > 5
+
+
+def test_deep_pages_are_linear():
+    import time
+
+    for page in ("<div>word " * 40_000, "<div><li>word <noscript>x</noscript></span></ul>" * 10_000, "<p>" * 100_000, "<ul><li>" * 30_000 + "x", "<button>x" * 30_000, "<" * 100_000):
+        began = time.time()
+        html_mincut.main_text(page)
+        assert time.time() - began < 5, page[:40]
+
+
 def test_minimum_cut_is_minimal():
     from itertools import product
 
