@@ -91,15 +91,19 @@ def components(edges: DataFrame) -> DataFrame:
         r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return r[0], r[1]
 
+    def two(a, b, c, d):
+        """Rows (a, b) and (c, d) of each row."""
+        return F.inline(F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b")), F.struct(F.col(c).alias("a"), F.col(d).alias("b"))))
+
     def step(e, large):
         if large:
-            both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            both = e.select(two("a", "b", "b", "a"))
             least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
             out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
             least = down.groupBy("a").agg(F.min("b").alias("m"))
-            out = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+            out = down.join(least, "a").select(two("b", "m", "a", "m"))
         return out.where("a <> b").distinct()
 
     now = keep(edges.select("a", "b").where("a <> b").distinct())

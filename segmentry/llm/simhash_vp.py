@@ -14,12 +14,14 @@ most documents. Members within the radius of it link to it. Every other member (
 queries the shard: a member x can be within the radius of y only if |d(x, v) - d(y, v)| <= RADIUS,
 so only overlapping rings are read, and only links that join two parts are returned.
 
-A hot shard is dealt out in parts of about PART members; its fringe goes to each of the parts.
+A hot shard is cut into bands of RADIUS + 1 distances, and a band of many members into cells of about PART by
+hash. By the triangle bound links lie within a band or between neighbouring ones, so a part is one cell, or one pair of cells of
+the same or of neighbouring bands: no part holds more than two cells, and every pair that can link meets in one.
 Exact copies have one fingerprint and are one member of a shard, with a count.
 
 Results for odd rows: a null text counts as empty; texts without words have fingerprint zero and
-link like any other; repeated doc_ids are one node of the graph and each row is returned; a null
-doc_id keeps its fingerprint and gets the smallest doc_id of its component, null if there is none.
+link like any other; repeated doc_ids are one node of the graph and each row is returned; a row with a null
+doc_id links like any other and gets the smallest doc_id of its component, null if there is none.
 """
 
 from __future__ import annotations
@@ -31,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, keep, per_slice, table
+from .common import components, keep, per_slice, small_or_not, table
 
 RADIUS = 4
 #: Widths of the blocks, from the highest bits on.
 BLOCKS = (11, 11, 11, 11, 10, 10)
-#: Members of a shard in one part.
+#: Members of a shard that are compared in one part, and about so many of a cell; a part is two cells at most.
 PART = 4096
+#: Documents of one fingerprint from which it is joined apart from the others.
+HOT = 100_000
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -154,25 +158,59 @@ def links(members: DataFrame) -> DataFrame:
     vantage = dealt.groupBy("tree", "key").agg(F.count("*").alias("size"), F.max(F.struct("n", "fp", "node")).alias("v")).where("size > 1").select("tree", "key", "size", F.col("v.fp").alias("v_fp"), F.col("v.node").alias("v_node"))
     shards = keep(dealt.join(vantage, ["tree", "key"]).select("tree", "key", "size", "fp", "node", "v_node", F.bit_count(F.col("fp").bitwiseXOR(F.col("v_fp"))).cast("long").alias("d")))
     near = shards.where((F.col("d") <= RADIUS) & (F.col("node") != F.col("v_node"))).select(F.col("v_node").alias("a"), F.col("node").alias("b"))
-    fringed = shards.where(f"d > {RADIUS} and size > 2").select("tree", "key").distinct()
-    parts = F.ceil(F.col("size") / PART).cast("int")
-    rows = (
-        shards.join(fringed, ["tree", "key"], "left_semi")
-        .withColumn("part", F.explode(F.when(F.col("d") > RADIUS, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), parts).cast("int")))))
-        .select("tree", "key", "part", "node", "fp", "d")
-    )
+    rows = parts_of(shards)
     rings = rows.repartition("tree", "key", "part").sortWithinPartitions("tree", "key", "part").mapInArrow(shard_links, "a long, b long")
     return near.unionByName(rings)
 
 
+def parts_of(shards: DataFrame) -> DataFrame:
+    """(tree, key, part, node, fp, d): the members of every part of the shards that have a fringe."""
+    fringed = shards.where(f"d > {RADIUS} and size > 2").select("tree", "key").distinct()
+    members = shards.join(fringed, ["tree", "key"], "left_semi")
+    whole = members.where(F.col("size") <= PART).select("tree", "key", F.lit(0).cast("long").alias("part"), "node", "fp", "d")
+    hot = members.where(F.col("size") > PART).withColumn("band", F.floor(F.col("d") / (RADIUS + 1)))
+    cells = keep(hot.groupBy("tree", "key", "band").agg(F.ceil(F.count("*") / PART).cast("long").alias("n")).groupBy("tree", "key").agg(F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("cells")))
+    # the cells of a shard are few: its distances end at 64
+    hot = hot.join(small_or_not(cells, cells.count()), ["tree", "key"])
+
+    def count(band):
+        return F.coalesce(F.try_element_at("cells", band), F.lit(0).cast("long"))
+
+    own = F.pmod(F.xxhash64("fp"), count(F.col("band")))
+
+    def label(low_band, low, high_band, high):
+        # the number of a pair of cells: bands are below 13, cells of a band below 2^24
+        return ((low_band * 16 + high_band) * (1 << 24) + low) * (1 << 24) + high
+
+    def with_cells(n, make):
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), make)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+    band = F.col("band")
+    same = with_cells(count(band), lambda c: label(band, F.least(own, c), band, F.greatest(own, c)))
+    up = with_cells(count(band + 1), lambda c: label(band, own, band + 1, c))
+    down = with_cells(F.when(band > 0, count(band - 1)).otherwise(F.lit(0).cast("long")), lambda c: label(band - 1, c, band, own))
+    dealt = hot.select("tree", "key", F.explode(F.concat(same, up, down)).alias("part"), "node", "fp", "d")
+    return whole.unionByName(dealt)
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id) for every row."""
     prints = keep(fingerprints(docs, text, id_column))
-    members = prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
-    linked = members.where("node is not null")
-    roots = components(links(linked).unionByName(same_id(prints)))
-    named = members.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    members = prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    # fingerprints that only rows without an id have get numbers above all ids
+    last = prints.agg(F.max("doc_id")).first()[0] or 0
+    members = keep(members.withColumn("node", F.coalesce("id", F.lit(last) + 1 + F.monotonically_increasing_id())))
+    roots = components(links(members).unionByName(same_id(prints)))
+    named = keep(members.join(roots, "node", "left").select("fp", "n", F.coalesce("root", "node").alias("component_id")))
+    named = named.withColumn("component_id", F.when(F.col("component_id") <= last, F.col("component_id")))
+    # the fingerprints of very many documents are few, and joined without a shuffle
+    hot = named.where(F.col("n") >= HOT).drop("n")
+    few = hot.count()
+    if not few:
+        return prints.join(named.drop("n"), "fp").select("doc_id", "fp", "component_id")
+    often = prints.join(small_or_not(hot, few), "fp")
+    rest = prints.join(small_or_not(hot, few), "fp", "left_anti").join(named.where(F.col("n") < HOT).drop("n"), "fp")
+    return often.unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def same_id(prints: DataFrame) -> DataFrame:
@@ -189,8 +227,6 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Pipeline stage: of each component the row of the smallest doc_id stays (one of equal rows); rows without an id stay."""
-    from .common import small_or_not
-
     found = near_duplicates(docs)
     gone = keep(found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
     # one column holds the row, so that no name of it can clash

@@ -323,6 +323,31 @@ def test_disclosing_terms_of_whole_documents(spark):
         assert [(s["s"], s["x"]) for s in found[k] if s["kind"] == "term" and rows[k][1][s["s"] : s["x"]] == "Zorblatt"] == want
 
 
+def test_parts_of_a_hot_shard(spark, monkeypatch):
+    """20,000 random members of one shard: no part above two cells, and every pair that the triangle bound allows meets."""
+    monkeypatch.setattr(simhash_vp, "PART", 2000)
+    rng = np.random.default_rng(4)
+    low = rng.choice(1 << 42, 20_000, replace=False)
+    v = int(low[0])
+    rows = [(0, 0, 20_000, int(x), int(x), v, int(x ^ v).bit_count()) for x in low.tolist()]
+    shards = spark.createDataFrame(rows, "tree int, key long, size long, fp long, node long, v_node long, d long")
+    parts = simhash_vp.parts_of(shards).select("part", "node", "d").toPandas()
+    assert parts.groupby("part").size().max() <= 1.3 * 2 * 2000
+    own = parts.groupby("node")["part"].agg(set)
+    d = dict(zip(parts["node"], parts["d"]))
+    sample = rng.choice(low, 300, replace=False).tolist()
+    assert all(own[a] & own[b] for a in sample for b in sample if abs(d[a] - d[b]) <= simhash_vp.RADIUS)
+
+
+def test_rows_without_an_id_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash_vp, "HOT", 2)
+    prints = [(5, 0b0), (None, 0b1111), (7, 0b11111111), (None, 1 << 40), (9, 0b11111111), (9, 7 << 50), (None, 0)]
+    monkeypatch.setattr(simhash_vp, "fingerprints", lambda docs, text, id_column: docs.select("doc_id", "fp"))
+    got = simhash_vp.near_duplicates(spark.createDataFrame(prints, "doc_id long, fp long")).collect()
+    want = [(5, 0b0, 5), (None, 0b1111, 5), (7, 0b11111111, 5), (None, 1 << 40, 5), (9, 0b11111111, 5), (9, 7 << 50, 5), (None, 0, 5)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_many_findings_in_one_text():
     import time
 
