@@ -157,7 +157,7 @@ def label_scores(df: DataFrame) -> DataFrame:
 
 
 def joined(est: DataFrame, ref: DataFrame) -> DataFrame:
-    e = est.select("track_id", F.col("times").alias("est_times"), F.col("labels").alias("est_labels"))
+    e = est.select("track_id", F.col("times").alias("est_times"), F.col("labels").alias("est_labels"), *[c for c in est.columns if c == "params"])
     r = ref.select("track_id", F.col("times").alias("ref_times"), F.col("labels").alias("ref_labels"))
     return e.join(r, "track_id")
 
@@ -172,9 +172,9 @@ def evaluate(est: DataFrame, ref: DataFrame, bins: int = BINS) -> DataFrame:
     return label_scores(df).withColumn("ds_name", F.split("track_id", "_")[0]).drop("est_times", "est_labels", "ref_times", "ref_labels")
 
 
-def summary(results: DataFrame) -> DataFrame:
-    """Mean of every numeric column."""
-    return results.agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c, kind in results.dtypes if kind == "double"])
+def summary(results: DataFrame, *by: str) -> DataFrame:
+    """Mean of every numeric column, by the columns given."""
+    return results.groupBy(*by).agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c, kind in results.dtypes if kind == "double"])
 
 
 def missing_references(est: DataFrame, ref: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,11 +65,22 @@ def levels_of(x, second, ts, boundaries, labels, hier, config, given, seed):
     return out
 
 
-def segment(packed: DataFrame, boundaries: str = "sf", labels: str | None = None, hier: bool = False, times: DataFrame | None = None, **params) -> DataFrame:
+def matrix(cell: pa.ListScalar) -> np.ndarray:
+    """Rows of equal length as a matrix, read from the list's buffers."""
+    rows = cell.values
+    return rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
+
+
+def vector(cell: pa.ListScalar) -> np.ndarray:
+    return cell.values.to_numpy(zero_copy_only=False).astype(float)
+
+
+def segment(packed: DataFrame, boundaries: str = "sf", labels: str | None = None, hier: bool = False, times: DataFrame | None = None, grid: list[dict] | None = None, **params) -> DataFrame:
     """Segments of every track of (track_id, ts, x[, x2, dur]).
 
     One row is one track, so tracks are spread over the tasks and no shuffle follows the packing. `gt` takes the boundary
-    times of `times` (track_id, times). Labels are -1 without a label algorithm.
+    times of `times` (track_id, times). Labels are -1 without a label algorithm. With a grid of parameter values, every
+    track is segmented with each of them, and a last column `params` has the number of the values in the grid.
     """
     if boundaries != "gt":
         G.lookup(boundaries, "boundaries")
@@ -76,36 +88,59 @@ def segment(packed: DataFrame, boundaries: str = "sf", labels: str | None = None
             G.lookup(boundaries, "hierarchical")
     if labels is not None:
         G.lookup(labels, "labels")
-    config = G.configuration(boundaries, labels, **params)
+    configs = [G.configuration(boundaries, labels, **params | own) for own in grid or [{}]]
     if times is not None:
         packed = packed.join(times, "track_id", "left")
     names = packed.columns
+    columns = ["track_id", "level", "seg", "start_idx", "end_idx", "start", "end", "label", "params"]
+    schema = pa.schema(list(zip(columns, [pa.string(), *[pa.int32()] * 4, pa.float64(), pa.float64(), pa.int32(), pa.int32()])))
+
+    def rows_of(cells, config, number):
+        track, x, ts = cells["track_id"].as_py(), matrix(cells["x"]), vector(cells["ts"])
+        second = matrix(cells["x2"]) if "x2" in names else None
+        shift = 0.0 if "dur" in names else ts[0]
+        duration = cells["dur"].as_py() if "dur" in names else float(ts[-1] - ts[0])
+        if len(x) <= MINIMUM_FRAMES:
+            return [(track, 0, 0, 0, len(x) - 1, 0.0, duration, 0, number)]
+        given = [t - shift for t in cells["times"].as_py()] if times is not None and cells["times"].is_valid else None
+        levels = levels_of(x, second, ts - shift, boundaries, labels, hier, config, given, seed_of(track))
+        return [(track, level, k, *s, number) for level, (b, own) in enumerate(levels) for k, s in enumerate(level_rows(b, own, ts - shift, duration))]
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                x, ts = np.array([list(v) for v in r.x], float), np.asarray(r.ts, float)
-                second = np.array([list(v) for v in r.x2], float) if "x2" in names else None
-                shift = 0.0 if "dur" in names else ts[0]
-                duration = float(r.dur) if "dur" in names else float(ts[-1] - ts[0])
-                if len(x) <= MINIMUM_FRAMES:
-                    rows.append((r.track_id, 0, 0, 0, len(x) - 1, 0.0, duration, 0))
-                    continue
-                given = [t - shift for t in r.times] if times is not None and r.times is not None else None
-                for level, (b, own) in enumerate(levels_of(x, second, ts - shift, boundaries, labels, hier, config, given, seed_of(r.track_id))):
-                    rows += [(r.track_id, level, k, *s) for k, s in enumerate(level_rows(b, own, ts - shift, duration))]
-            yield pd.DataFrame(rows, columns=["track_id", "level", "seg", "start_idx", "end_idx", "start", "end", "label"])
+        for batch in batches:
+            for at in range(batch.num_rows):
+                cells = {c: batch.column(k)[at] for k, c in enumerate(names)}
+                for number, config in enumerate(configs):
+                    rows = rows_of(cells, config, number)
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return packed.mapInPandas(run, SEGMENTS)
+    found = packed.mapInArrow(run, SEGMENTS + ", params int")
+    return found if grid else found.drop("params")
+
+
+def boundary_frames(packed: DataFrame, algorithm: str, **params) -> DataFrame:
+    """(track_id, bounds): the boundary frames of every track, in order."""
+    config, names = G.configuration(algorithm, None, **params), packed.columns
+    G.lookup(algorithm, "boundaries")
+    schema = pa.schema([("track_id", pa.string()), ("bounds", pa.list_(pa.int32()))])
+
+    def run(batches):
+        for batch in batches:
+            tracks = batch.column(names.index("track_id"))
+            x = batch.column(names.index("x"))
+            found = [G.ALGORITHMS[algorithm].run(matrix(x[k]), None, config, seed_of(t.as_py()))[0] for k, t in enumerate(tracks)]
+            yield pa.RecordBatch.from_arrays([tracks, pa.array([np.asarray(b, np.int32) for b in found], pa.list_(pa.int32()))], schema=schema)
+
+    return packed.mapInArrow(run, "track_id string, bounds array<int>")
 
 
 def as_sides(segments: DataFrame, level: int = 0) -> DataFrame:
-    """(track_id, times, labels) of one level of segments; a label of -1 is written @."""
+    """(track_id, times, labels[, params]) of one level of segments; a label of -1 is written @."""
+    keys = ["track_id", *[c for c in segments.columns if c == "params"]]
     o = F.array_sort(F.collect_list(F.struct("start", "end", "label")))
-    p = segments.where(F.col("level") == level).groupBy("track_id").agg(o.alias("o"))
+    p = segments.where(F.col("level") == level).groupBy(*keys).agg(o.alias("o"))
     label = lambda v: F.when(v["label"].cast("string") == "-1", "@").otherwise(v["label"].cast("string"))
-    return p.select("track_id", F.concat(F.col("o.start"), F.array(F.element_at("o.end", -1))).alias("times"), F.transform("o", label).alias("labels"))
+    return p.select("track_id", F.concat(F.col("o.start"), F.array(F.element_at("o.end", -1))).alias("times"), F.transform("o", label).alias("labels"), *keys[1:])
 
 
 def evaluate(estimations: DataFrame, references: DataFrame, strict: bool = False, bins: int = E.BINS) -> DataFrame:
@@ -140,7 +175,7 @@ def train_olda(packed: DataFrame, bounds: DataFrame, sigmas: tuple[float, ...] =
         total = None
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                x = np.array([list(v) for v in r.x], float)
+                x = np.stack([np.asarray(v, float) for v in r.x])
                 f = K.olda_features(x, x, np.asarray(r.ts, float) - r.ts[0])
                 got = np.stack(K.scatter(f, list(r.bounds)))
                 total = got if total is None else total + got
@@ -167,12 +202,10 @@ def load_transform(spark, path: str | None, size: int) -> np.ndarray:
 
 
 def sweep(packed: DataFrame, references: DataFrame, boundaries: str, grid: dict[str, list]) -> DataFrame:
-    """Mean metrics for every combination of parameter values."""
+    """Mean metrics for every combination of parameter values; one pass over the tracks and one join with the references serve all of them."""
     from itertools import product
 
-    out = None
-    for values in product(*grid.values()):
-        params = dict(zip(grid, values))
-        got = E.summary(evaluate(as_sides(segment(packed, boundaries, **params)), references)).withColumn("params", F.lit(json.dumps(params, sort_keys=True)))
-        out = got if out is None else out.unionByName(got)
-    return out
+    values = [dict(zip(grid, v)) for v in product(*grid.values())]
+    got = evaluate(as_sides(segment(packed, boundaries, grid=values)), references)
+    written = F.array(*[F.lit(json.dumps(v, sort_keys=True)) for v in values])
+    return E.summary(got, "params").withColumn("params", F.get(written, F.col("params")))

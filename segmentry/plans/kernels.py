@@ -169,7 +169,7 @@ def knee_k(x, threshold: float = 0.015, most: int = 12, seed: int = 0) -> int:
     """The number of clusters at the knee of the BIC of a sweep."""
     w = white(x)
     counts = np.arange(1, max(2, min(most, len(x))))
-    scores = np.array([bic(w, *N.kmeans(w, k, restarts=5, seed=seed), k) for k in counts])
+    scores = np.array([bic(w, *N.kmeans(w, k, restarts=100, seed=seed), k) for k in counts])
     if len(scores) == 1:
         return 2
     growth = np.diff(scores)
@@ -180,7 +180,7 @@ def knee_k(x, threshold: float = 0.015, most: int = 12, seed: int = 0) -> int:
 def split_k(x, threshold: float = 0.2, most: int = 10, first: int = 2, seed: int = 0) -> int:
     """The number of clusters when clusters are halved as long as the BIC differs enough."""
     k = first
-    _, labels = N.kmeans(white(x), k, seed=seed)
+    _, labels = N.kmeans(white(x), k, restarts=100, seed=seed)
     while k < most:
         centres = []
         for c in range(labels.max() + 1):
@@ -190,9 +190,9 @@ def split_k(x, threshold: float = 0.2, most: int = 10, first: int = 2, seed: int
                 continue
             spread = np.where(own.std(axis=0) == 0, 1, own.std(axis=0))
             w = own / spread
-            one, two = bic(w, w.mean(axis=0)[None], np.zeros(len(w), int), 1), bic(w, *N.kmeans(w, 2, seed=seed), 2)
+            one, two = bic(w, w.mean(axis=0)[None], np.zeros(len(w), int), 1), bic(w, *N.kmeans(w, 2, restarts=100, seed=seed), 2)
             top = max(abs(one), abs(two)) or 1
-            centres += [h * spread for h in N.kmeans(w, 2, seed=seed)[0]] if abs(one - two) / top > threshold else [own.mean(axis=0)]
+            centres += [h * spread for h in N.kmeans(w, 2, restarts=100, seed=seed)[0]] if abs(one - two) / top > threshold else [own.mean(axis=0)]
         if len(centres) <= k:
             return k
         k = min(len(centres), most)
@@ -205,20 +205,20 @@ def fmc2d(x, bounds, c, seed):
     m = fourier_magnitudes(N.normalise(x, c["label_norm_feats"], c["label_norm_floor"], c["label_norm_min_db"]), bounds, c["offset"])
     k = knee_k(m, 0.01, 8, seed) if c["xmeans"] else c["k"]
     w = white(np.log1p(m[:, m.shape[1] // 2 :]))
-    return bounds, N.kmeans(w, min(k, len(w)), restarts=20, seed=seed)[1]
+    return bounds, N.kmeans(w, min(k, len(w)), restarts=c.get("fmc2d_restarts", 100), seed=seed)[1]
 
 
-def spectral_levels(vectors, layers, bounds, seed, by_segment: bool):
+def spectral_levels(vectors, layers, bounds, seed, by_segment: bool, restarts: int):
     norm = np.sqrt(np.cumsum(vectors**2, axis=1))
     out = []
     for k in layers:
         k = min(k, vectors.shape[1])
         e = vectors[:, :k] / (norm[:, k - 1 : k] + 1e-5)
-        _, labels = N.kmeans(e, k, restarts=10, seed=seed)
+        _, labels = N.kmeans(e, k, restarts=restarts, seed=seed)
         b = ends(runs(labels), len(e)) if bounds is None else bounds
         if by_segment:
             means = np.array([e[a : max(z, a + 1)].mean(axis=0) for a, z in zip(b[:-1], b[1:])])
-            own = N.kmeans(means, min(k, len(means)), restarts=10, seed=seed)[1]
+            own = N.kmeans(means, min(k, len(means)), restarts=restarts, seed=seed)[1]
         else:
             own = labels[b[:-1]]
         out.append((b, own))
@@ -241,7 +241,7 @@ def scluster(x, bounds, c, seed, second=None):
     _, vectors = np.linalg.eigh((lap + lap.T) / 2)
     vectors = N.median_filter(vectors, c["evec_smooth"])
     layers = range(1, c["num_layers"] + 1) if c.get("hier") else [c["scluster_k"]]
-    levels = spectral_levels(vectors, layers, bounds, seed, False)
+    levels = spectral_levels(vectors, layers, bounds, seed, False, c.get("scluster_restarts", 50))
     return levels if c.get("hier") else levels[0]
 
 
@@ -294,7 +294,8 @@ def vmo(x, bounds, c, seed):
     y = x / np.where(top == 0, 1, top)
     y = np.concatenate([y, np.vstack([np.zeros((1, y.shape[1])), y[:-1]])], axis=1)
     d = N.euclidean(y, y)
-    grid = np.quantile(d[~np.eye(len(d), dtype=bool)], np.linspace(0.02, 0.6, 12))
+    # every share of the greatest distance, in even steps
+    grid = np.arange(c.get("vmo_thresholds", 100)) / c.get("vmo_thresholds", 100) * (d.max() or 1.0)
     threshold = max(grid, key=lambda t: (information_rate(factor_oracle(y, t)[1]), -t))
     link, lrs = factor_oracle(y, threshold)
     n = len(y)
@@ -312,7 +313,7 @@ def vmo(x, bounds, c, seed):
     _, vectors = np.linalg.eigh((m + m.T) / 2)
     vectors = N.median_filter(vectors[:, : c["hier_num_layers"]], 5)
     layers = range(1, min(c["hier_num_layers"], n) + 1) if c.get("hier") else [c["vmo_k"]]
-    levels = spectral_levels(vectors, layers, bounds, seed, True)
+    levels = spectral_levels(vectors, layers, bounds, seed, True, c.get("vmo_restarts", 50))
     return levels if c.get("hier") else levels[0]
 
 

@@ -91,24 +91,34 @@ def diagonal_median(m: np.ndarray, size: int) -> np.ndarray:
 
 
 def kmeans(x: np.ndarray, k: int, restarts: int = 10, steps: int = 300, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(centres, labels) of the best of some runs from spread-out starts; labels are numbered by first appearance."""
-    rng, best = np.random.default_rng(seed), None
-    k = min(k, len(x))
-    for _ in range(restarts):
-        centres = x[[rng.integers(len(x))]]
-        while len(centres) < k:
-            d = euclidean(x, centres).min(axis=1) ** 2
-            centres = np.vstack([centres, x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))]])
+    """(centres, labels) of the best of some runs from spread-out starts, many runs at a time; labels are numbered by first appearance."""
+    rng, best, n = np.random.default_rng(seed), None, len(x)
+    k, squares = min(k, n), (x**2).sum(axis=1)
+    group = max(1, 2_000_000 // max(1, n * k))
+    for at in range(0, restarts, group):
+        r = min(group, restarts - at)
+        centres, near = np.empty((r, k, x.shape[1])), np.full((r, n), np.inf)
+        centres[:, 0] = x[rng.integers(n, size=r)]
+        for j in range(1, k):
+            last = centres[:, j - 1]
+            near = np.minimum(near, np.maximum(squares + (last**2).sum(axis=1)[:, None] - 2 * last @ x.T, 0))
+            whole = near.sum(axis=1)
+            pick = (near.cumsum(axis=1) > (rng.random(r) * whole)[:, None]).argmax(axis=1)
+            centres[:, j] = x[np.where(whole > 0, pick, rng.integers(n, size=r))]
         labels = None
         for _ in range(steps):
-            new = euclidean(x, centres).argmin(axis=1)
+            d = (centres**2).sum(axis=2)[:, None, :] - 2 * x @ centres.transpose(0, 2, 1)
+            new = d.argmin(axis=2)
             if labels is not None and (new == labels).all():
                 break
             labels = new
-            centres = np.array([x[labels == c].mean(axis=0) if (labels == c).any() else centres[c] for c in range(k)])
-        cost = ((x - centres[labels]) ** 2).sum()
-        if best is None or cost < best[0] - 1e-12:
-            best = cost, centres, labels
+            own = (labels[:, :, None] == np.arange(k)).astype(float)
+            size = own.sum(axis=1)[:, :, None]
+            centres = np.where(size > 0, own.transpose(0, 2, 1) @ x / np.maximum(size, 1), centres)
+        for c, own in zip(centres, labels):
+            cost = ((x - c[own]) ** 2).sum()
+            if best is None or cost < best[0] - 1e-12:
+                best = cost, c, own
     _, centres, labels = best
     seen = list(dict.fromkeys(labels.tolist()))
     seen += [c for c in range(k) if c not in seen]

@@ -92,9 +92,9 @@ algorithm("sf", boundaries=True, labels=False, M_gaussian=27, m_embedded=3, k_ne
 algorithm("cbm", boundaries=True, labels=False, ssm="rbf", penalty_weight=1, penalty_func="modulo8", bands_number=7, max_size=32)(K.cbm)
 algorithm("cnmf", boundaries=True, labels=True, h=20, R=16, rank=3, R_labels=16, rank_labels=4, niters=500, norm_feats="inf")(K.cnmf)
 algorithm("olda", boundaries=True, labels=False, hierarchical=True, transform=None)(K.olda)
-algorithm("scluster", boundaries=True, labels=True, hierarchical=True, num_layers=10, scluster_k=4, evec_smooth=9, rec_smooth=9, rec_width=9)(K.scluster)
-algorithm("vmo", boundaries=True, labels=True, hierarchical=True, connectivity="lrs", median_filter_width=9, hier_num_layers=10, vmo_k=10)(K.vmo)
-algorithm("fmc2d", boundaries=False, labels=True, xmeans=False, k=4, offset=4, label_norm_feats="inf", label_norm_floor=0.1, label_norm_min_db=-80)(K.fmc2d)
+algorithm("scluster", boundaries=True, labels=True, hierarchical=True, num_layers=10, scluster_k=4, evec_smooth=9, rec_smooth=9, rec_width=9, scluster_restarts=50)(K.scluster)
+algorithm("vmo", boundaries=True, labels=True, hierarchical=True, connectivity="lrs", median_filter_width=9, hier_num_layers=10, vmo_k=10, vmo_restarts=50, vmo_thresholds=100)(K.vmo)
+algorithm("fmc2d", boundaries=False, labels=True, xmeans=False, k=4, offset=4, label_norm_feats="inf", label_norm_floor=0.1, label_norm_min_db=-80, fmc2d_restarts=100)(K.fmc2d)
 
 
 def algorithms(kind: str) -> list[str]:

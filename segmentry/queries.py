@@ -99,13 +99,15 @@ def metric(df: DataFrame, *names: str) -> DataFrame:
 
 
 def label_runs(spark, d) -> DataFrame:
-    """Runs of equal labels of the embeddings: (track_id, seg, start, end, label)."""
-    rows = src.table(spark, d, "embeddings").select(F.lit("embeddings").alias("track_id"), F.col("vec_id").alias("t"), "label")
-    # one track has one order: its labels are one array, and runs are read from it
-    p = rows.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("t", "label"))).alias("o"))
-    p = p.withColumn("b", F.array_distinct(F.concat(F.array(F.lit(0)), A.change_points(F.col("o.label")), F.array(F.size("o")))))
-    seg = F.transform(F.filter(A.positions("b"), lambda k: k < F.size("b") - 1), lambda k: F.struct(k.alias("seg"), A.at("b", k).cast("double").alias("start"), A.at("b", k + 1).cast("double").alias("end"), A.at(F.col("o.label"), A.at("b", k)).alias("label")))
-    return p.select("track_id", F.inline(seg))
+    """Runs of equal labels of the embeddings: (track_id, seg, start, end, label). Places are numbered by ranges, and neighbours meet by joins on places."""
+    rows = src.numbered(src.table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
+    before = rows.select((F.col("i") + 1).alias("i"), F.col("label").alias("before"))
+    starts = rows.join(before, "i", "left").where("before is null or before <> label").select("i", "label")
+    runs = src.numbered(starts, "i", "seg")
+    after = runs.select((F.col("seg") - 1).alias("seg"), F.col("i").alias("next"))
+    whole = rows.agg(F.count("*").alias("n"))
+    got = runs.join(after, "seg", "left").join(F.broadcast(whole))
+    return got.select(F.lit("embeddings").alias("track_id"), F.col("seg").cast("int").alias("seg"), F.col("i").cast("double").alias("start"), F.coalesce("next", "n").cast("double").alias("end"), "label")
 
 
 def run_times(spark, d) -> DataFrame:
@@ -122,7 +124,8 @@ def frames_from_events(spark, d):
 
 
 def frames_from_embeddings(spark, d):
-    return cells(src.embeddings_packed(spark, d))
+    f = src.embedding_frames(spark, d)
+    return f.select("track_id", "i", F.posexplode("vec").alias("d", "v")).select("track_id", "i", F.col("d").cast("long").alias("d"), r6("v").alias("v"))
 
 
 def beat_sync_mean(spark, d):
@@ -148,8 +151,16 @@ def cbm_penalty(spark, d):
     return n.select(F.col("id").alias("n"), *[r6(R.penalty(F.col("id"), k).cast("double")).alias(k) for k in kinds])
 
 
-def cbm_boundaries(spark, d):
-    return bounds(R.cbm(src.events_packed(spark, d), "cosine"))
+def kernel_bounds(algorithm: str, **params):
+    """Boundaries by the numeric form, which holds one track's matrix at a time; relational.py has the same plan as expressions."""
+    return on_events(lambda p: bounds(api.boundary_frames(p, algorithm, **params)))
+
+
+def evaluate_sides(spark, d):
+    """All metrics of novelty segments against days."""
+    p = src.events_packed(spark, d)
+    got = api.evaluate(estimated(p), annotated(p))
+    return got.select("track_id", "ds_name", *[r6(F.col(f"`{c}`")).alias(c.replace(".", "_")) for c, kind in got.dtypes if kind == "double"])
 
 
 def align_times_asof(spark, d):
@@ -205,15 +216,12 @@ def results_mean(spark, d):
 
 
 def param_sweep(spark, d):
-    """The mean hit rate of every pair of threshold size and share: parameters are a small literal side of each track's row."""
+    """The mean hit rate of every pair of threshold size and share: all pairs are made from each track's one row."""
     p = plain_novelty(src.events_packed(spark, d))
     ref = annotated(src.events_packed(spark, d)).select("track_id", F.col("times").alias("ref_times"))
-    out = None
-    for size in (4, 8):
-        for share in (0.0, 0.1):
-            q = S.pick_peaks(S.adaptive_threshold(p, size, share))
-            q = q.select("track_id", F.lit(size).cast("long").alias("size"), F.lit(share).alias("share"), F.transform(S.with_ends(F.col("peaks"), F.size("x")), lambda t: t.cast("double")).alias("est_times"))
-            out = q if out is None else out.unionByName(q)
+    medians = p.withColumn("n", F.size("x")).select("track_id", "n", "nc", F.inline(F.array(*[F.struct(F.lit(size).cast("long").alias("size"), A.median_filter(F.col("nc"), size).alias("md")) for size in (4, 8)])))
+    tried = medians.withColumn("share", F.explode(F.array(F.lit(0.0), F.lit(0.1)))).withColumn("th", V.let(A.mean(F.col("nc")) * F.col("share"), lambda m: F.transform("md", lambda v: v + m)))
+    out = S.pick_peaks(tried).select("track_id", "size", "share", F.transform(S.with_ends(F.col("peaks"), F.col("n")), lambda t: t.cast("double")).alias("est_times"))
     scored = E.hit_rates(out.join(ref, "track_id"), 3.0, False, "HitRate_3", "HitRate_w3F")
     return scored.groupBy("size", "share").agg(r6(F.avg("HitRate_3F")).alias("f"))
 
@@ -241,19 +249,23 @@ def vq_assign(spark, d):
     return nearest_centre(e, centres).select("vec_id", F.col("centre").cast("long").alias("centre"), r6("dist").alias("dist"))
 
 
-def nearest_centre(rows: DataFrame, centres: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Adds centre and dist. Centres (label, c) within the limit are read as one broadcast array; more are dealt out in blocks."""
-    n = centres.count()
-    blocks = max(1, -(-n // limit))
-    numbered = centres.withColumn("block", F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int"))
-    packed = numbered.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("centres"))
+def with_centres(rows: DataFrame, centres: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """rows with an array of centres (label, c), and the number of blocks: one broadcast block if they are within the limit, else a row for each block of at most about limit centres."""
+    blocks = max(1, -(-centres.count() // limit))
+    block = F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int")
+    packed = centres.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("centres"))
     dealt = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    joined = dealt.join(F.broadcast(packed) if blocks == 1 else packed, "block")
+    return dealt.join(F.broadcast(packed) if blocks == 1 else packed, "block").drop("block"), blocks
+
+
+def nearest_centre(rows: DataFrame, centres: DataFrame, limit: int = 10_000) -> DataFrame:
+    """Adds centre and dist to every row; of equally near centres the least label. Centres: (label, c)."""
     best = F.array_min(F.transform("centres", lambda c: F.struct(V.euclidean("v", c["c"]).alias("dist"), c["label"].alias("centre"))))
-    got = joined.withColumn("b", best).drop("centres", "block")
+    got, blocks = with_centres(rows.select(F.struct("*").alias("row"), "v", F.monotonically_increasing_id().alias("id")), centres, limit)
+    got = got.select("id", "row", best.alias("b"))
     if blocks > 1:
-        got = got.groupBy("vec_id").agg(F.min("b").alias("b"))
-    return got.select("*", F.col("b.centre").alias("centre"), F.col("b.dist").alias("dist")).drop("b")
+        got = got.groupBy("id").agg(F.first("row").alias("row"), F.min("b").alias("b"))
+    return got.select("row.*", F.col("b.centre").alias("centre"), F.col("b.dist").alias("dist"))
 
 
 def norm_sampling_probabilities(spark, d):
@@ -263,14 +275,21 @@ def norm_sampling_probabilities(spark, d):
 
 
 def cmeans_membership(spark, d):
-    """Fuzzy membership (m 1.75) of every vector in the means of labels 0 to 9."""
+    """Fuzzy membership (m 1.75) of every vector in the mean of every label."""
     e = src.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     parts = e.select("label", F.posexplode("v").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("m"))
     centres = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("c"))
-    packed = centres.agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("centres"))
-    w = F.transform("centres", lambda c: F.struct(c["label"].alias("label"), F.pow(F.greatest(V.euclidean("v", c["c"]), F.lit(1e-12)), F.lit(-2 / 0.75)).alias("w")))
-    got = e.join(F.broadcast(packed)).select("vec_id", w.alias("w")).withColumn("all", V.total(F.transform("w", lambda x: x["w"])))
-    return got.select("vec_id", "all", F.inline("w")).select("vec_id", F.col("label").cast("long").alias("label"), r6(F.col("w") / F.col("all")).alias("membership"))
+    return memberships(e, centres).select("vec_id", F.col("label").cast("long").alias("label"), r6("membership").alias("membership"))
+
+
+def memberships(rows: DataFrame, centres: DataFrame, m: float = 1.75, limit: int = 10_000) -> DataFrame:
+    """(vec_id, label, membership) of every vector v and centre (label, c)."""
+    got, blocks = with_centres(rows.select("vec_id", "v", F.monotonically_increasing_id().alias("id")), centres, limit)
+    w = F.transform("centres", lambda c: F.struct(c["label"].alias("label"), F.pow(F.greatest(V.euclidean("v", c["c"]), F.lit(1e-12)), F.lit(-2 / (m - 1))).alias("w")))
+    got = got.select("id", "vec_id", w.alias("w")).withColumn("all", V.total(F.transform("w", lambda x: x["w"])))
+    if blocks > 1:
+        got = got.withColumn("all", F.sum("all").over(W.partitionBy("id")))
+    return got.select("vec_id", "all", F.inline("w")).select("vec_id", "label", (F.col("w") / F.col("all")).alias("membership"))
 
 
 def session_segments(spark, d):
@@ -368,7 +387,7 @@ def t_measure(spark, d):
     o = seg.groupBy("track_id", "level").agg(F.concat(F.array_sort(F.collect_list("start")), F.array(F.max("end"))).alias("t"))
     est = o.groupBy("track_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "t"))), lambda x: x["t"]).alias("levels"))
     ref = annotated(src.events_packed(spark, d)).select("track_id", F.array(F.array(F.lit(0.0), F.element_at("times", -1)), F.col("times")).alias("levels"))
-    return api.t_measure(est, ref, step=0.5)
+    return api.t_measure(est, ref)
 
 
 def factorised(method: str):
@@ -414,11 +433,14 @@ def queries():
         "graph_degree": on_events(lambda p: curve(cosine_affinity(p), "deg_rec")),
         "balanced_affinity": on_events(lambda p: cosine_affinity(p).select("track_id", r6("mu").alias("mu"), r6(V.total(F.transform("aff", V.total))).alias("total"))),
         "checkerboard_novelty": on_events(lambda p: curve(M.checkerboard_novelty(M.ssm(S.normalise(p, "min_max")), 16), "nc")),
-        "foote_boundaries": on_events(lambda p: bounds(R.foote(p, **FOOTE))),
-        "sf_boundaries": on_events(lambda p: bounds(R.sf(p, **SF))),
+        "foote_boundaries": kernel_bounds("foote", M_gaussian=16, m_median=4, L_peaks=8),
+        "foote_boundaries_relational": on_events(lambda p: bounds(R.foote(p, **FOOTE))),
+        "sf_boundaries": kernel_bounds("sf", M_gaussian=7, k_nearest=0.1, Mp_adaptive=8),
+        "sf_boundaries_relational": on_events(lambda p: bounds(R.sf(p, **SF))),
         "cbm_segment_scores": cbm_segment_scores,
         "cbm_penalty": cbm_penalty,
-        "cbm_boundaries": cbm_boundaries,
+        "cbm_boundaries": kernel_bounds("cbm", ssm="cosine"),
+        "cbm_boundaries_relational": on_events(lambda p: bounds(R.cbm(p, "cosine"))),
         "ground_truth_bounds": ground_truth_bounds,
         "times_to_intervals": lambda s, d: I.times_to_intervals(run_times(s, d)).select("track_id", F.col("seg").cast("long").alias("seg"), "start", "end"),
         "intervals_to_times": run_times,
@@ -455,6 +477,8 @@ def queries():
         "mirex_lines": mirex_lines,
         "first_seen_labels": first_seen_labels,
         "segment_sf_fmc2d": segmented("sf", "fmc2d"),
+        "segment_sf": segmented("sf", M_gaussian=7, k_nearest=0.1, Mp_adaptive=8),
+        "segment_cbm_cosine": segmented("cbm", ssm="cosine"),
         "segment_foote": segmented("foote", M_gaussian=16, m_median=4, L_peaks=8),
         "segment_cbm": segmented("cbm"),
         "segment_cnmf": segmented("cnmf", "cnmf"),
@@ -464,6 +488,7 @@ def queries():
         "segment_vmo": segmented("vmo"),
         "embeddings_segmented": embeddings_segmented,
         "evaluate": evaluate_api,
+        "evaluate_sides": evaluate_sides,
         "t_measure": t_measure,
         "olda_transform": olda_transform,
         **{f"factor_{m.lower()}": factorised(m) for m in factor.METHODS},

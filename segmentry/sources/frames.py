@@ -31,6 +31,21 @@ def events_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("track_id").agg(ordered.alias("o")).select("track_id", F.col("o.t").alias("ts"), F.col("o.vec").alias("x"))
 
 
+def numbered(df: DataFrame, order: str, place: str = "i") -> DataFrame:
+    """df with the place of each row in the order of a column, from 0 on: rows are dealt by range, and only the counts of the ranges are added up."""
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__id", F.monotonically_increasing_id())
+    part, within = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    first = counts.groupBy().agg(F.array_sort(F.collect_list(F.struct("__part", "n"))).alias("c")).select(F.inline(F.transform("c", lambda x, k: F.struct(x["__part"].alias("__part"), F.aggregate(F.slice("c", 1, k), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("__first")))))
+    return ranged.withColumn("__part", part).join(F.broadcast(first), "__part").withColumn(place, F.col("__first") + within).drop("__part", "__first", "__id")
+
+
+def embedding_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frames of the track `embeddings`, in order of vec_id."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    return numbered(rows, "vec_id").select(F.lit("embeddings").alias("track_id"), "i", F.col("vec_id").cast("double").alias("t"), "vec")
+
+
 def embeddings_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One track, `embeddings`, in order of vec_id; t is vec_id."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from .operators.similarity import checkerboard
 
@@ -89,7 +90,7 @@ SEUCLID = ["ds AS (SELECT a.track_id, a.i, b.i AS j, sqrt(sum((a.v - b.v) ** 2))
 def knn(source: str, k: str, width: int, mutual: bool, n: str = "sz") -> list[str]:
     out = [
         pairs_(source, "sqrt(sum((a.v - b.v) ** 2))", "kd", f"AND abs(a.i - b.i) >= {width}"),
-        f"kn AS (SELECT track_id, i, j FROM (SELECT *, row_number() OVER (PARTITION BY track_id, i ORDER BY v, j) AS r FROM kd) JOIN {n} USING (track_id) WHERE r <= {k})",
+        f"kn AS MATERIALIZED (SELECT track_id, i, j FROM (SELECT *, row_number() OVER (PARTITION BY track_id, i ORDER BY v, j) AS r FROM kd) JOIN {n} USING (track_id) WHERE r <= {k})",
     ]
     out.append("rc AS (SELECT a.track_id, a.i, a.j FROM kn a JOIN kn b ON a.track_id = b.track_id AND a.i = b.j AND a.j = b.i)" if mutual else "rc AS (SELECT * FROM kn)")
     return out
@@ -329,3 +330,34 @@ TWINS["relabel_hierarchy"] = (
     )
     + "SELECT track_id, est_label, new_label FROM hit UNION ALL SELECT l.track_id, l.label, u.label FROM lft l JOIN uns u USING (track_id, k)"
 )
+
+for _name in ("foote", "sf", "cbm"):
+    TWINS[f"{_name}_boundaries_relational"] = TWINS[f"{_name}_boundaries"]
+
+#: Segments between boundaries, at a frame a second.
+SEGMENTS = "SELECT track_id, 0::INTEGER AS level, CAST(row_number() OVER w - 1 AS INTEGER) AS seg, CAST(frame AS INTEGER) AS start_idx, CAST(\"next\" AS INTEGER) AS end_idx, frame::DOUBLE AS start, \"next\"::DOUBLE AS \"end\", (-1)::INTEGER AS label FROM (SELECT track_id, frame, lead(frame) OVER (PARTITION BY track_id ORDER BY frame) AS \"next\" FROM bd) WHERE \"next\" IS NOT NULL WINDOW w AS (PARTITION BY track_id ORDER BY frame)"
+for _name, _from in (("segment_foote", "foote_boundaries"), ("segment_sf", "sf_boundaries"), ("segment_cbm_cosine", "cbm_boundaries")):
+    TWINS[_name] = TWINS[_from].replace(BOUNDS, SEGMENTS)
+
+
+def all_metrics() -> str:
+    """Every metric by its own CTEs, under names of their own."""
+    parts = [*SIDES, *LABELS, *gain("db", "bd"), *gain("bd", "db")]
+    columns = []
+    for k, (window, trim, name, weighted) in enumerate(((3.0, False, "HitRate_3", "HitRate_w3F"), (3.0, True, "HitRate_t3", "HitRate_wt3F"), (0.5, False, "HitRate_0_5", "HitRate_w0_5F"), (0.5, True, "HitRate_t0_5", "HitRate_wt0_5F"))):
+        for part in hits(window, trim):
+            for cte in ("hr", "he", "hb", "tp", "hm", "hf"):
+                part = re.sub(rf"\b{cte}\b", f"{cte}{k}", part)
+            parts.append(part)
+        columns += [f'round(hf{k}.p, 6) AS "{name}P"', f'round(hf{k}.q, 6) AS "{name}R"', f'round(hf{k}.f, 6) AS "{name}F"', f'round(hf{k}.w, 6) AS "{weighted}"']
+    deviations = [("DevR2E", False, "db", "bd"), ("DevE2R", False, "bd", "db"), ("DevtR2E", True, "db", "bd"), ("DevtE2R", True, "bd", "db")]
+    joins = "".join(f" LEFT JOIN {deviation(t, a, b)} d{k} ON d{k}.track_id = lf.track_id" for k, (_, t, a, b) in enumerate(deviations))
+    columns += [f'round(d{k}.v, 6) AS "{name}"' for k, (name, *_) in enumerate(deviations)]
+    bits = repr(math.log2(251))
+    columns.append(f'round(({bits} - greatest(ga.h, gb.h)) / {bits}, 6) AS "D"')
+    columns += ['round(lf.p, 6) AS "PWP"', 'round(lf.q, 6) AS "PWR"', 'round(lf.pf, 6) AS "PWF"', 'round(lf.so, 6) AS "So"', 'round(lf.su, 6) AS "Su"', 'round(lf.sf, 6) AS "Sf"']
+    found = " ".join(f"LEFT JOIN hf{k} ON hf{k}.track_id = lf.track_id" for k in range(4))
+    return with_(*parts) + f"SELECT lf.track_id, split_part(lf.track_id, '_', 1) AS ds_name, {', '.join(columns)} FROM lf {found} LEFT JOIN dbbdh ga ON ga.track_id = lf.track_id LEFT JOIN bddbh gb ON gb.track_id = lf.track_id{joins}"
+
+
+TWINS["evaluate_sides"] = all_metrics()
