@@ -75,9 +75,27 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_or_not(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df as a broadcast side if its counted rows are within the limit; beyond it Spark shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+def small_or_not(df: DataFrame, rows: int) -> DataFrame:
+    """df as a broadcast side if its counted rows are within BROADCAST_ROWS; beyond it Spark shuffles."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+#: Rows of one key from which a join takes the key apart.
+HOT = 100_000
+
+
+def joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined with right, which has a row for each key and the number n of left's rows with it (not returned).
+
+    Keys of HOT rows or more are at most rows / HOT, so they are joined by broadcast and never meet in one task.
+    """
+    right = keep(right)
+    hot = right.where(F.col("n") >= HOT).drop("n")
+    few = hot.count()
+    if not few:
+        return left.join(right.drop("n"), key)
+    rest = left.join(small_or_not(hot.select(key), few), key, "left_anti").join(right.where(F.col("n") < HOT).drop("n"), key)
+    return left.join(small_or_not(hot, few), key).unionByName(rest)
 
 
 def components(edges: DataFrame) -> DataFrame:

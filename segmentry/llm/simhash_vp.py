@@ -33,22 +33,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, keep, per_slice, small_or_not, table
+from .common import components, joined, keep, per_slice, small_or_not, table
 
 RADIUS = 4
 #: Widths of the blocks, from the highest bits on.
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Members of a shard that are compared in one part, and about so many of a cell; a part is two cells at most.
 PART = 4096
-#: Documents of one fingerprint from which it is joined apart from the others.
-HOT = 100_000
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Words between ASCII white space, A-Z in lower case."""
+    return (text or "").encode("utf-8", "replace").lower().split()
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
     """64-bit SimHash of the shingles of width words, repeats included; 0 without words."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "replace").lower().split()
+    words = words_of(text)
     if not words:
         return 0
     if len(words) <= width:
@@ -201,16 +204,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     last = prints.agg(F.max("doc_id")).first()[0] or 0
     members = keep(members.withColumn("node", F.coalesce("id", F.lit(last) + 1 + F.monotonically_increasing_id())))
     roots = components(links(members).unionByName(same_id(prints)))
-    named = keep(members.join(roots, "node", "left").select("fp", "n", F.coalesce("root", "node").alias("component_id")))
+    named = members.join(roots, "node", "left").select("fp", "n", F.coalesce("root", "node").alias("component_id"))
     named = named.withColumn("component_id", F.when(F.col("component_id") <= last, F.col("component_id")))
-    # the fingerprints of very many documents are few, and joined without a shuffle
-    hot = named.where(F.col("n") >= HOT).drop("n")
-    few = hot.count()
-    if not few:
-        return prints.join(named.drop("n"), "fp").select("doc_id", "fp", "component_id")
-    often = prints.join(small_or_not(hot, few), "fp")
-    rest = prints.join(small_or_not(hot, few), "fp", "left_anti").join(named.where(F.col("n") < HOT).drop("n"), "fp")
-    return often.unionByName(rest).select("doc_id", "fp", "component_id")
+    return joined(prints, named, "fp").select("doc_id", "fp", "component_id")
 
 
 def same_id(prints: DataFrame) -> DataFrame:
@@ -226,15 +222,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each component the row of the smallest doc_id stays (one of equal rows); rows without an id stay."""
-    found = near_duplicates(docs)
-    gone = keep(found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
-    # one column holds the row, so that no name of it can clash
-    rows = docs.select(F.struct("*").alias("doc"))
-    kept = rows.join(small_or_not(gone, gone.count()), F.col("doc.doc_id") == F.col("gone"), "left_anti")
-    twice = keep(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice")))
-    n = twice.count()
-    if not n:
-        return kept.select("doc.*")
-    again = kept.join(small_or_not(twice, n), F.col("doc.doc_id") == F.col("twice"), "left_semi").withColumn("id", F.col("doc.doc_id")).dropDuplicates(["id"]).drop("id")
-    return kept.join(small_or_not(twice, n), F.col("doc.doc_id") == F.col("twice"), "left_anti").unionByName(again).select("doc.*")
+    """Pipeline stage: of each group of near duplicates (see near_sets) the row of the smallest doc_id stays; rows without an id stay."""
+    from . import near_sets
+
+    return near_sets.one_of_each(docs)

@@ -10,7 +10,7 @@ import pytest
 
 pytest.importorskip("segmentry.llm")
 
-from segmentry.llm import avi_mjpeg, bbpe, decontam, html_mincut, langid, pii, quality, secrets_rand, simhash_vp, toxicity  # noqa: E402
+from segmentry.llm import avi_mjpeg, bbpe, common, decontam, html_mincut, langid, near_sets, pii, quality, secrets_rand, simhash_vp, toxicity  # noqa: E402
 
 WORDS = "the of and to in is that was for with on are this be by from at or an as".split()
 
@@ -97,7 +97,7 @@ def test_pipeline_equals_brute_force(spark, sf):
 
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     texts = {i: t for i, t in texts.items() if re.search(r"[^\W\d_]", t)}
-    roots = brute_components({i: simhash_vp.fingerprint(t) for i, t in texts.items()})
+    roots = brute_groups(texts)
     leaked = {int(re.match(r"\((\d+),", r)[1]) for r in duck(decontam.OP8_SQL, sf, "documents", "benchmark")}
     patterns = [(re.compile(p.replace("(?i)", ""), re.I if k == "assign" else 0), k) for k, p in secrets_rand.KINDS.items()]
 
@@ -235,7 +235,24 @@ def test_fingerprints_and_components(spark, sf):
     assert {i: r["component_id"] for i, r in got.items()} == brute_components(prints)
 
 
-def brute_components(prints):
+def brute_groups(texts):
+    """Smallest id of the group of each text: links are similarities of 5-word shingle sets of 0.8 or more."""
+
+    def shingles(t):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        return {" ".join(words[k : k + 5]) for k in range(len(words) - 4)} or ({" ".join(words)} if words else {("empty", t or "")})
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+
+    def near(a, b):
+        both = len(sets[a] & sets[b])
+        return both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)
+
+    return brute_components(texts, near)
+
+
+def brute_components(prints, near=None):
+    near = near or (lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
     parent = {i: i for i in prints}
 
     def root(x):
@@ -246,11 +263,46 @@ def brute_components(prints):
     ids = sorted(prints)
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= 4 and root(a) != root(b):
+            if root(a) != root(b) and near(a, b):
                 parent[max(root(a), root(b))] = min(root(a), root(b))
     return {i: root(i) for i in ids}
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_near_sets_equal_brute_force(spark, monkeypatch, small):
+    """Chains, stars and lone near misses; the second time with every limit so low that hubs, cells and hot keys are dealt out."""
+    if small:
+        monkeypatch.setattr(near_sets, "DEGREE", 3)
+        monkeypatch.setattr(near_sets, "CELL", 4)
+        monkeypatch.setattr(common, "HOT", 2)
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    rng = random.Random(11)
+    rows, at = [], 0
+    for _ in range(8):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([6, 40, 120]))]
+        for _ in range(rng.randrange(1, 14)):
+            words = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 3, 5])):
+                words[rng.randrange(len(words))] = f"v{rng.randrange(5000)}"
+            rows.append((at, " ".join(words)))
+            at += 1
+            if rng.random() < 0.4:
+                base = words
+    rows += [(at, "A b"), (at + 1, "a  B"), (at + 2, ""), (at + 3, None), (at + 4, " "), (at + 5, "solo text of six words here"), (None, rows[0][1]), (None, None)]
+    rng.shuffle(rows)
+    texts = {i: t for i, t in rows if i is not None}
+    want = brute_groups(texts)
+    got = sorted((r["doc_id"] for r in near_sets.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([*{want[i] for i in texts}, None, None], key=repr)
+
+
+def test_repeated_ids_keep_their_texts(spark):
+    a, b = " ".join(f"x{k}" for k in range(30)), " ".join(f"y{k}" for k in range(30))
+    rows = [(1, a, "p"), (1, b, "q"), (1, b, "q"), (2, b + " z", "r"), (3, a, "s")]
+    got = near_sets.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, key string")).collect()
+    assert sorted(map(tuple, got)) == [(1, a, "p"), (1, b, "q")]
+
+
 def test_links_of_a_hot_shard(spark, monkeypatch):
     """Chains and clusters of near fingerprints in shards that are dealt out in small parts."""
     monkeypatch.setattr(simhash_vp, "PART", 8)
@@ -340,7 +392,7 @@ def test_parts_of_a_hot_shard(spark, monkeypatch):
 
 
 def test_rows_without_an_id_link(spark, monkeypatch):
-    monkeypatch.setattr(simhash_vp, "HOT", 2)
+    monkeypatch.setattr(common, "HOT", 2)
     prints = [(5, 0b0), (None, 0b1111), (7, 0b11111111), (None, 1 << 40), (9, 0b11111111), (9, 7 << 50), (None, 0)]
     monkeypatch.setattr(simhash_vp, "fingerprints", lambda docs, text, id_column: docs.select("doc_id", "fp"))
     got = simhash_vp.near_duplicates(spark.createDataFrame(prints, "doc_id long, fp long")).collect()
