@@ -195,12 +195,17 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train) -> DataFrame:
 
         def sketch(t):
             words = (t or "").split()
-            return min((xxhash.xxh64_intdigest(" ".join(words[k : k + 3])) >> 1 for k in range(max(1, len(words) - 2))), default=0)
+            hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + 3])) for k in range(max(1, len(words) - 2))]
+            # two minima: texts that share both are copies, or nearly
+            return (min(hashes) ^ min(h * 0x9E3779B97F4A7C15 % (1 << 64) for h in hashes) * 3) % (1 << 63)
 
         return [ids, texts, ys, list(map(sketch, texts))]
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
-    return keep(rows.mapInArrow(per_slice(lambda: f, schema), "doc_id long, text string, y int, sketch long").dropDuplicates(["sketch"]))
+    found = rows.mapInArrow(per_slice(lambda: f, schema), "doc_id long, text string, y int, sketch long")
+    # one text for each group of copies, whatever their order, with the label of most of them
+    first = F.min(F.struct(F.md5(F.coalesce("text", F.lit("")).cast("binary")), "doc_id", "text")).alias("first")
+    return keep(found.groupBy("sketch").agg(first, F.round(F.avg("y")).cast("int").alias("y")).select("first.doc_id", "first.text", "y"))
 
 
 def learn_lexicon(rows: DataFrame) -> tuple[dict, dict, list]:
