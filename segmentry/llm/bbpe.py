@@ -64,6 +64,8 @@ class Codec:
             self.split = lambda text: slow(text) if odd(text) else plain(text)
         self.byte_of = {c: b for b, c in enumerate(chars)}
         self.token_bytes = {rank: bytes(self.byte_of[c] for c in token) for token, rank in vocab.items()}
+        #: Bytes of a token by its id as written, and ids of pre-tokens, joined by commas.
+        self.written_bytes = {str(rank): own for rank, own in self.token_bytes.items()}
         self.known: dict[str, str] = {}
 
     def ids(self, pieces: list[str]) -> list[list[int]]:
@@ -86,19 +88,16 @@ class Codec:
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = {p for pieces in split for p in pieces}
-        new, other = list(new), {}
+        new = list(new)
         for piece, ids in zip(new, self.ids(new)):
             known[piece] = ",".join(map(str, ids))
-            if (decoded := self.decode(ids)) != piece.encode():
-                other[piece] = decoded
         out = []
         for pieces in split:
             joined = ",".join([known[p] for p in pieces])
-            # the ids of every pre-token were decoded when they were made; those that gave other bytes are in other
-            decoded = b"".join([other.get(p) or p.encode() for p in pieces]) if other else "".join(pieces).encode()
-            out.append((joined, joined.count(",") + 1 if pieces else 0, decoded))
+            ids = joined.split(",") if pieces else []
+            out.append((joined, len(ids), b"".join(map(self.written_bytes.__getitem__, ids))))
         for p in new:
-            if len(p) > LONGEST_REMEMBERED or p in other:
+            if len(p) > LONGEST_REMEMBERED:
                 del known[p]
         return out
 
