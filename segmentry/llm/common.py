@@ -32,8 +32,9 @@ def fold(column: str, k: int) -> Column:
 
 
 def give_back() -> None:
-    """Returns freed memory to the system, where the C library can."""
+    """Returns freed memory of Python, Arrow and, where it can, the C library to the system."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -58,6 +59,10 @@ def per_slice(make, schema: pa.Schema, size: int = SLICE):
                 part = batch.slice(at, size)
                 out = f(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
+            del batch
+            # workers stay for later tasks, beside those of other functions
+            pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 

@@ -35,7 +35,7 @@ MARK = "▁"
 #: Most letters of the words that are summed side by side; the sums of a word this long stay within a double's range.
 SIDE_BY_SIDE = 24
 #: Bytes of text that a worker cuts at one time, unless one text has more.
-CUT_BYTES = 6 << 20
+CUT_BYTES = 4 << 20
 #: Added to every expected count.
 SMOOTHING = 0.05
 UNKNOWN = 0
@@ -77,6 +77,8 @@ def in_cuts(batches, column: int):
             held += n
         if batch.num_rows:
             yield batch.slice(at)
+        del batch
+        give_back()
 
 
 class Lattice:

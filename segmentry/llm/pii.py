@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, per_slice, small_or_not, table
+from .common import give_back, keep, per_slice, small_or_not, table
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR = 8
@@ -194,6 +194,7 @@ def term_counts(texts: DataFrame, terms: DataFrame, plain: bool) -> DataFrame:
                 if len(counts) > REMEMBERED:
                     yield emit()
         yield emit()
+        give_back()
 
     counted = texts.mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
     return counted if few else counted.join(terms, "t", "left_semi")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, joined, keep, per_slice, small_or_not, table
+from .common import components, give_back, joined, keep, per_slice, small_or_not, table
 
 RADIUS = 4
 #: Widths of the blocks, from the highest bits on.
@@ -152,6 +152,7 @@ def shard_links(batches):
         held.append(rows[cut:])
     if (last := flush()) is not None:
         yield last
+    give_back()
 
 
 def links(members: DataFrame) -> DataFrame:
