@@ -85,21 +85,23 @@ def small_or_not(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-#: Rows of one key from which a join takes the key apart.
-HOT = 100_000
+#: Rows of one key from which a join may take the key apart.
+HOT = 1000
 
 
 def joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """left joined with right, which has a row for each key and the number n of left's rows with it (not returned).
 
-    Keys of HOT rows or more are at most rows / HOT, so they are joined by broadcast and never meet in one task.
+    Keys of HOT rows or more, and of so many that there can't be more than BROADCAST_ROWS of them, are joined by broadcast and
+    never meet in one task.
     """
     right = keep(right)
-    hot = right.where(F.col("n") >= HOT).drop("n")
+    least = max(HOT, (right.agg(F.sum("n")).first()[0] or 0) // max(1, BROADCAST_ROWS))
+    hot = right.where(F.col("n") >= least).drop("n")
     few = hot.count()
     if not few:
         return left.join(right.drop("n"), key)
-    rest = left.join(small_or_not(hot.select(key), few), key, "left_anti").join(right.where(F.col("n") < HOT).drop("n"), key)
+    rest = left.join(small_or_not(hot.select(key), few), key, "left_anti").join(right.where(F.col("n") < least).drop("n"), key)
     return left.join(small_or_not(hot, few), key).unionByName(rest)
 
 

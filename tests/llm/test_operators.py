@@ -274,6 +274,7 @@ def test_near_sets_equal_brute_force(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(near_sets, "DEGREE", 3)
         monkeypatch.setattr(near_sets, "CELL", 4)
+        monkeypatch.setattr(near_sets, "CELL_SHINGLES", 300)
         monkeypatch.setattr(common, "HOT", 2)
         monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     rng = random.Random(11)
@@ -296,6 +297,21 @@ def test_near_sets_equal_brute_force(spark, monkeypatch, small):
     assert got == sorted([*{want[i] for i in texts}, None, None], key=repr)
 
 
+def test_near_misses_make_no_pairs(spark):
+    """400 copies with one word changed each, just under the similarity, and a chain within it: links stay few."""
+    rng = random.Random(13)
+    base = [f"w{k}" for k in range(30)]
+    rows = []
+    for k in range(400):
+        words = list(base)
+        words[rng.randrange(5, 25)] = f"v{k}"
+        rows.append((k, " ".join(words)))
+    texts = dict(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_groups(texts)
+    assert sorted(r["doc_id"] for r in near_sets.one_of_each(docs).collect()) == sorted(set(want.values()))
+
+
 def test_repeated_ids_keep_their_texts(spark):
     a, b = " ".join(f"x{k}" for k in range(30)), " ".join(f"y{k}" for k in range(30))
     rows = [(1, a, "p"), (1, b, "q"), (1, b, "q"), (2, b + " z", "r"), (3, a, "s")]
