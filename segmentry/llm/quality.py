@@ -4,7 +4,7 @@ A logistic model over shape features of the text (letters, symbols, capitals, re
 gives each document's evidence. Its expected positives are summed per host and per path; a host's
 share is shrunk toward the global share, and a path's toward its host's, by Beta priors whose
 strengths are moment estimates over all hosts and paths, so that sparse sites stay near their prior. The score
-is the document's odds, moved from the global prior to its path's.
+is the document's odds, moved from the global prior to its path's, where the document itself is left out of both posteriors.
 
 The model is fitted on at most TRAIN_ROWS labelled rows of the training folds, chosen by a hash of the id. Host and
 path sums cover all documents. The site tables have a row per host or path; a hot host is summed
@@ -113,13 +113,16 @@ def classify(docs: DataFrame, labels: DataFrame, train, host: str, path: str) ->
     totals = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     share = (totals["s"] + 0.5) / (totals["n"] + 1) if totals["n"] else 0.5
     a = strength(hosts, F.lit(share))
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("s") + a * share) / (F.col("n") + a)).alias("host_share"))
-    nested = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).select("host", "path", "n", "s", "host_share")
+    hosts = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("s").alias("host_s"), ((F.col("s") + a * share) / (F.col("n") + a)).alias("host_share"))
+    nested = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).select("host", "path", "n", "s", "host_n", "host_s", "host_share")
     b = strength(nested, F.col("host_share"))
-    sites = keep(nested.select(F.col("host").alias("h"), F.col("path").alias("q"), "host_share", ((F.col("s") + b * F.col("host_share")) / (F.col("n") + b)).alias("path_share")))
+    sites = keep(nested.select(F.col("host").alias("h"), F.col("path").alias("q"), "n", "s", "host_n", "host_s"))
     logit = lambda p: F.log(p) - F.log(1 - p)
+    joined = rows.join(small_or_not(sites, sites.count()), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
+    # a document's own evidence counts once: its sites' posteriors are those of their other documents
+    joined = joined.withColumn("host_share", (F.col("host_s") - F.col("p_text") + a * share) / (F.col("host_n") - 1 + a))
+    joined = joined.withColumn("path_share", (F.col("s") - F.col("p_text") + b * F.col("host_share")) / (F.col("n") - 1 + b))
     z = logit(F.col("p_text")) + logit(F.least(F.greatest("path_share", F.lit(1e-6)), F.lit(1 - 1e-6))) - math.log(share / (1 - share))
-    joined = rows.join(small_or_not(sites, sites.count(), 500_000), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
     return joined.select("doc_id", "p_text", "host_share", "path_share", (1 / (1 + F.exp(-z))).alias("score")).withColumn("keep", F.col("score") >= 0.5)
 
 
