@@ -50,3 +50,14 @@ def covariance(rows: DataFrame, vec: str = "vec") -> DataFrame:
 def positions_of_zero_rows(x) -> A.Column:
     """Frames whose vector is zero throughout."""
     return F.filter(A.positions(x), lambda i: ~F.exists(A.at(x, i), lambda v: v != 0))
+
+
+def drop_zero_rows(packed, x: str = "x"):
+    """packed without the frames whose vector is zero throughout, and without their times."""
+    keep = F.filter(A.positions(F.col(x)), lambda i: F.exists(A.at(F.col(x), i), lambda v: v != 0))
+
+    def kept(c):
+        return F.transform("__keep", lambda i: A.at(F.col(c), i)).alias(c)
+
+    numbered = packed.withColumn("__keep", keep)
+    return numbered.select(*[kept(c) if c in (x, "ts") else F.col(c) for c in packed.columns])

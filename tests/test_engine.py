@@ -395,3 +395,30 @@ def test_entry_without_the_subpackage(tmp_path, sf):
     shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'foote_boundaries' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_sweep_and_mirex_commands(spark, sf, tmp_path):
+    from segmentry.__main__ import main
+    from segmentry.plans import api
+    from segmentry.queries import annotated, seconds
+    from segmentry.sources import frames as src
+
+    p = src.events_packed(spark, sf)
+    seconds(p).write.parquet(str(tmp_path / "in"))
+    annotated(p).write.parquet(str(tmp_path / "ref"))
+    main(["sweep", str(tmp_path / "in"), str(tmp_path / "ref"), str(tmp_path / "sweep"), "--boundaries", "foote", "--param", "M_gaussian=[16, 24]", "--param", "L_peaks=[8]", "--param", "m_median=[4]"])
+    got = {json.loads(r["params"])["M_gaussian"]: r["HitRate_3F"] for r in spark.read.csv(str(tmp_path / "sweep"), header=True, inferSchema=True).select("params", "HitRate_3F").collect()}
+    for size in (16, 24):
+        one = api.evaluate(api.as_sides(api.segment(seconds(p), "foote", M_gaussian=size, L_peaks=8, m_median=4)), annotated(p))
+        assert abs(one.agg({"HitRate_3F": "avg"}).first()[0] - got[size]) < 1e-9
+    main(["mirex", str(tmp_path / "in"), str(tmp_path / "lines"), "--boundaries", "foote", "--labels", "fmc2d", "--param", "M_gaussian=16"])
+    lines = spark.read.text(str(tmp_path / "lines")).collect()
+    assert lines and all(len(r["value"].split("\t")) == 3 for r in lines)
+
+
+def test_zero_rows_are_dropped(spark):
+    from segmentry.operators.joins import drop_zero_rows
+
+    rows = [("a", [0.0, 1.0, 2.0], [[0.0, 0.0], [1.0, 0.0], [0.0, 0.0]]), ("b", [0.0], [[0.0, 0.0]])]
+    got = drop_zero_rows(spark.createDataFrame(rows, "track_id string, ts array<double>, x array<array<double>>"))
+    assert {r["track_id"]: (r["ts"], r["x"]) for r in got.collect()} == {"a": ([1.0], [[1.0, 0.0]]), "b": ([], [])}
