@@ -140,17 +140,22 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH m(mask, o) AS (VALUES (0, [0, 1, 2, 3]), (1, [0, 1, 3, 4]), (2, [0, 2, 3, 5])),
-d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents),
-b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM benchmark),
-dp AS (SELECT doc_id, t, unnest(range(len(t))) AS p FROM d),
-bp AS (SELECT item_id, t, unnest(range(len(t))) AS p FROM b WHERE len(t) >= 8),
-ds AS (SELECT doc_id, t, p, mask, t[p + o[1] + 1] || ' ' || t[p + o[2] + 1] || ' ' || t[p + o[3] + 1] || ' ' || t[p + o[4] + 1] AS k FROM dp, m WHERE p + o[4] < len(t)),
-bs AS (SELECT item_id, greatest(p - 12, 0) AS f, p - greatest(p - 12, 0) AS before, t[greatest(p - 12, 0) + 1 : least(len(t), p + 18)] AS around, mask, t[p + o[1] + 1] || ' ' || t[p + o[2] + 1] || ' ' || t[p + o[3] + 1] || ' ' || t[p + o[4] + 1] AS k FROM bp, m WHERE p + o[4] < len(t)),
-hit AS (SELECT DISTINCT doc_id, item_id, t, p - before AS place, around FROM ds JOIN bs USING (mask, k)),
-same AS (SELECT doc_id, item_id, least(13, len(around)) AS compared, [CASE WHEN place + i >= 0 AND t[place + i + 1] = around[i + 1] THEN 1 ELSE 0 END for i in range(len(around))] AS s FROM hit),
-dk AS (SELECT doc_id, t[p + 1 : p + n] AS k FROM dp, (VALUES (4), (5), (6), (7)) l(n) WHERE p + n <= len(t)),
-whole AS (SELECT DISTINCT doc_id, item_id, len(k) AS compared, len(k) AS matched FROM dk JOIN b ON k = b.t),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents),
+b AS MATERIALIZED (SELECT row_number() OVER () AS rid, item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM benchmark),
+w AS (SELECT 0 AS side, rid, unnest(range(len(t))) AS p, unnest(t) AS a FROM d UNION ALL SELECT 1, rid, unnest(range(len(t))), unnest(t) FROM b WHERE len(t) >= 8),
+l AS MATERIALIZED (SELECT side, rid, p, a, lead(a, 1) OVER x AS a1, lead(a, 2) OVER x AS a2, lead(a, 3) OVER x AS a3, lead(a, 4) OVER x AS a4, lead(a, 5) OVER x AS a5, lead(a, 6) OVER x AS a6 FROM w WINDOW x AS (PARTITION BY side, rid ORDER BY p)),
+s AS MATERIALIZED (SELECT side, rid, p, 0 AS mask, a || ' ' || a1 || ' ' || a2 || ' ' || a3 AS k FROM l WHERE a3 IS NOT NULL
+  UNION ALL SELECT side, rid, p, 1, a || ' ' || a1 || ' ' || a3 || ' ' || a4 FROM l WHERE a4 IS NOT NULL
+  UNION ALL SELECT side, rid, p, 2, a || ' ' || a2 || ' ' || a3 || ' ' || a5 FROM l WHERE a5 IS NOT NULL),
+bs AS (SELECT item_id, greatest(p - 12, 0) AS f, p - greatest(p - 12, 0) AS before, t[greatest(p - 12, 0) + 1 : least(len(t), p + 18)] AS around, mask, k FROM s JOIN b USING (rid) WHERE side = 1),
+hit AS (SELECT DISTINCT s.rid, item_id, p - before AS place, around FROM s JOIN bs USING (mask, k) WHERE side = 0),
+same AS (SELECT doc_id, item_id, least(13, len(around)) AS compared, [CASE WHEN place + i >= 0 AND o[i + 1] = around[i + 1] THEN 1 ELSE 0 END for i in range(len(around))] AS s
+  FROM (SELECT doc_id, item_id, place, around, [NULL::VARCHAR for i in range(greatest(-place, 0))] || t[greatest(place, 0) + 1 : greatest(place + len(around), 0)] AS o FROM hit JOIN d USING (rid))),
+dk AS (SELECT rid, a || ' ' || a1 || ' ' || a2 || ' ' || a3 AS k, 4 AS n FROM l WHERE side = 0 AND a3 IS NOT NULL
+  UNION ALL SELECT rid, a || ' ' || a1 || ' ' || a2 || ' ' || a3 || ' ' || a4, 5 FROM l WHERE side = 0 AND a4 IS NOT NULL
+  UNION ALL SELECT rid, a || ' ' || a1 || ' ' || a2 || ' ' || a3 || ' ' || a4 || ' ' || a5, 6 FROM l WHERE side = 0 AND a5 IS NOT NULL
+  UNION ALL SELECT rid, a || ' ' || a1 || ' ' || a2 || ' ' || a3 || ' ' || a4 || ' ' || a5 || ' ' || a6, 7 FROM l WHERE side = 0 AND a6 IS NOT NULL),
+whole AS (SELECT DISTINCT doc_id, item_id, n AS compared, n AS matched FROM dk JOIN b ON len(b.t) = n AND array_to_string(b.t, ' ') = k JOIN d ON d.rid = dk.rid),
 best AS (SELECT doc_id, item_id, compared, list_max([list_sum(s[j : j + compared - 1]) for j in range(1, len(s) - compared + 2)]) AS matched FROM same)
 SELECT doc_id, item_id, CAST(arg_max(compared, matched * 100 + compared) AS BIGINT) AS compared, CAST(max(matched) AS BIGINT) AS matched
 FROM (SELECT * FROM best WHERE matched >= ceil(compared * 0.8) UNION ALL SELECT * FROM whole) GROUP BY doc_id, item_id
