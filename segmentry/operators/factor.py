@@ -51,6 +51,41 @@ def nonnegative_weights(basis: np.ndarray, target: np.ndarray, steps: int = 200)
     return h
 
 
+def exact_nonnegative(basis: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Non-negative least squares of every column to the end, by block principal pivoting (Kim and Park, 2011).
+
+    Every column has a set of free rows; rows whose weight (free) or slope (not free) is negative change sides, all at once while
+    that helps and else only the last one. Columns of equal sets are solved together.
+    """
+    gram, cross = basis.T @ basis, basis.T @ target
+    k, n = cross.shape
+    near = 1e-10 * max(1.0, float(np.abs(cross).max(initial=0)))
+    h, slope, free = np.zeros((k, n)), -cross, np.zeros((k, n), bool)
+    fewest, tries = np.full(n, k + 1), np.full(n, 3)
+    for _ in range(5 * 2**min(k, 10) + 50):
+        wrong = np.where(free, h < -near, slope < -near)
+        count = wrong.sum(axis=0)
+        open_ = np.flatnonzero(count)
+        if not len(open_):
+            return np.maximum(h, 0)
+        better = count[open_] < fewest[open_]
+        fewest[open_[better]], tries[open_[better]] = count[open_[better]], 3
+        alone = ~better & (tries[open_] == 0)
+        tries[open_[~better & ~alone]] -= 1
+        for c in open_[alone]:
+            wrong[: np.flatnonzero(wrong[:, c])[-1], c] = False
+        free[:, open_] ^= wrong[:, open_]
+        sets, of = np.unique(free[:, open_], axis=1, return_inverse=True)
+        for g in range(sets.shape[1]):
+            rows, own = np.flatnonzero(sets[:, g]), open_[of.ravel() == g]
+            h[:, own] = 0
+            if len(rows):
+                h[np.ix_(rows, own)] = np.linalg.lstsq(gram[np.ix_(rows, rows)], cross[np.ix_(rows, own)], rcond=None)[0]
+            slope[:, own] = gram @ h[:, own] - cross[:, own]
+            slope[np.ix_(rows, own)] = 0
+    return nonnegative_weights(basis, target, 1000)  # dependent columns can turn in a circle
+
+
 class Factorisation:
     """Alternates update_h and update_w until the error settles."""
 
@@ -175,7 +210,10 @@ class NMFNNLS(NMFALS):
     """The same problem solved to the end in every step."""
 
     def update_h(self):
-        self.H = nonnegative_weights(self.W, self.data, 1000)
+        self.H = exact_nonnegative(self.W, self.data)
+
+    def update_w(self):
+        self.W = exact_nonnegative(self.H.T, self.data.T).T
 
 
 class NNDSVD(Factorisation):
@@ -211,14 +249,31 @@ class AA(Factorisation):
         self.W = self.data @ self.beta
 
 
-def hull_columns(data: np.ndarray, directions: int = 40, seed: int = 0) -> np.ndarray:
-    """Columns that are corners of the hull of some random two-dimensional views."""
-    rng, found = np.random.default_rng(seed), set()
-    for _ in range(directions):
-        view = rng.standard_normal((2, len(data))) @ data
-        angles = np.linspace(0, 2 * np.pi, 16, endpoint=False)
-        found |= set((np.stack([np.cos(angles), np.sin(angles)], axis=1) @ view).argmax(axis=1).tolist())
-    return np.array(sorted(found))
+def hull_of(points: np.ndarray) -> list[int]:
+    """Rows of an n x 2 matrix that are corners of the convex hull, counterclockwise; of equal points the first."""
+    _, first = np.unique(points, axis=0, return_index=True)  # rows in order of x, then y
+    if len(first) < 3:
+        return first.tolist()
+
+    def chain(order):
+        out = []
+        for k in order:
+            while len(out) > 1:
+                (ax, ay), (bx, by) = points[out[-1]] - points[out[-2]], points[k] - points[out[-1]]
+                if ax * by - ay * bx > 0:
+                    break
+                out.pop()
+            out.append(int(k))
+        return out[:-1]
+
+    return chain(first) + chain(first[::-1])
+
+
+def hull_columns(data: np.ndarray, directions: int = 3, seed: int = 0) -> np.ndarray:
+    """Columns that are corners of the hull in a plane of two of some random directions, over all pairs of directions."""
+    directions = max(2, min(directions, len(data)))
+    views = np.random.default_rng(seed).standard_normal((directions, len(data))) @ data
+    return np.array(sorted({k for a in range(directions) for b in range(a) for k in hull_of(views[[b, a]].T)}))
 
 
 class CHNMF(Factorisation):
@@ -461,22 +516,41 @@ class SIVM_CUR(CUR):
 
 
 class SIVM_SEARCH(SIVM):
-    """Best-first search over sets of corners: the widest few sets of every size are kept."""
+    """Best-first search over sets of corners, the most promising first, until a whole set comes up.
 
-    beam = 8
+    A set promises the volume that it had if all distances to the corners it lacks were the largest of the data. No set is
+    left out, so the number of sets can grow with the rank-th power of the columns.
+    """
 
     def choose(self):
-        d = pdist(self.data, self.data, self.metric)
-        sets = [(0.0, (k,)) for k in {self.first(), *d.max(axis=1).argsort()[-self.beam :].tolist()}]
-        for _ in range(1, min(self.rank, self.n)):
-            grown = {}
-            for _, s in sets:
-                for k in np.argsort(d[list(s)].min(axis=0))[-self.beam :]:
-                    if k not in s:
-                        t = tuple(sorted((*s, int(k))))
-                        grown[t] = cayley_menger(d[np.ix_(t, t)])
-            sets = sorted(((v, s) for s, v in grown.items()), reverse=True)[: self.beam]
-        return list(sets[0][1])
+        from heapq import heappop, heappush
+
+        d, rank = pdist(self.data, self.data, self.metric), min(self.rank, self.n)
+        seen, queue, turn = {(k,) for k in range(self.n)}, [], 0
+        single = self.promises([(0,)], d, rank)[0]
+        for k in range(self.n):
+            heappush(queue, (-single, k, (k,)))
+        now, turn = (self.first(),), self.n
+        while len(now) < rank:
+            grown = [t for t in (tuple(sorted((*now, k))) for k in range(self.n) if k not in now) if t not in seen]
+            seen.update(grown)
+            for v, t in zip(self.promises(grown, d, rank), grown):
+                heappush(queue, (-v, turn, t))
+                turn += 1
+            now = heappop(queue)[2]
+        return list(now)
+
+    @staticmethod
+    def promises(sets: list[tuple[int, ...]], d: np.ndarray, rank: int) -> list[float]:
+        """Cayley-Menger volumes of sets of one size, without their constant factor."""
+        if not sets:
+            return []
+        at, size = np.array(sets), len(sets[0])
+        m = np.ones((len(sets), rank + 1, rank + 1))
+        m[:, 1:, 1:] = d.max() ** 2
+        m[:, 1 : size + 1, 1 : size + 1] = d[at[:, :, None], at[:, None, :]] ** 2
+        m[:, np.arange(rank + 1), np.arange(rank + 1)] = 0
+        return np.maximum((-1) ** rank * np.linalg.det(m), 0).tolist()
 
 
 class SIVM_SGREEDY(SIVM):
@@ -511,16 +585,41 @@ def exchange(data: np.ndarray, corners: list[int], k: int) -> list[int]:
 
 
 class GMAP(Factorisation):
-    """Columns least like those found by cosine, with the plainest of near ties."""
+    """Geometric map: columns little like those found by angle. Kinds pca, aa and nmf weigh angle and length by the volume found so
+    far; kind angle (the default) takes after the longest column the one whose largest cosine is least.
+
+    With robust (Ostrouchov and Samatova, 2005) a pick is not the best column but, of the `near` best, the one next to the centre of
+    the largest of `clusters` groups, so that a lone outlier is passed over.
+    """
+
+    def __init__(self, data, rank: int = 4, seed: int = 0, kind: str = "angle", robust: bool = False, clusters: int = 3, near: int | None = None):
+        super().__init__(data, rank, seed)
+        self.kind, self.robust, self.clusters = kind, robust, clusters
+        self.near = near or max(1, round(2 * np.log(max(self.n, 1))))
+
+    def pick(self, score: np.ndarray) -> int:
+        if not self.robust:
+            return int(score.argmax())
+        best = np.argsort(-score, kind="stable")[: self.near]
+        centres, of = N.kmeans(self.data[:, best].T, min(self.clusters, len(best)), restarts=1, steps=10, seed=self.seed)
+        centre = centres[np.bincount(of, minlength=len(centres)).argmax()]
+        return int(best[np.linalg.norm(self.data[:, best].T - centre, axis=1).argmin()])
 
     def choose(self):
-        out = [int((self.data**2).sum(axis=0).argmax())]
-        like = np.zeros(self.n)
+        long = np.linalg.norm(self.data, axis=0)
+        safe = np.maximum(long, TINY)
+        score = 1 - self.data.sum(axis=0) / (np.sqrt(self.d) * safe) if self.kind == "nmf" else long.copy()
+        out, like = [self.pick(score)], np.zeros(self.n)
         for _ in range(1, min(self.rank, self.n)):
-            like = np.maximum(like, 1 - DISTANCES["abs_cosine"](self.data[:, out[-1]], self.data))
-            masked = like.copy()
-            masked[out] = np.inf
-            out.append(int(masked.argmin()))
+            cosine = self.data[:, out[-1]] @ self.data / (safe * safe[out[-1]])
+            if self.kind == "angle":
+                like = np.maximum(like, np.abs(cosine))
+                like[out] = np.inf
+                out.append(self.pick(-like))
+                continue
+            apart = (1 - cosine) / 2 if self.kind == "aa" else 1 - np.abs(cosine)
+            score = score * apart * (1 if self.kind == "nmf" else long)
+            out.append(self.pick(score))
         return out
 
     factorize = SIVM.factorize

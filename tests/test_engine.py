@@ -164,6 +164,35 @@ def test_hierarchy_measure():
     assert 0 < p < 1 and 0 < r < 1 and abs(f - 2 * p * r / (p + r)) < 1e-12
 
 
+def test_exact_parts_of_factorisations():
+    from itertools import combinations, product
+
+    from segmentry.operators import factor as F
+
+    rng = np.random.default_rng(3)
+    basis, target = rng.random((7, 4)), rng.standard_normal((7, 40))
+    best = np.full(40, np.inf)
+    for rows in product([False, True], repeat=4):  # every set of rows that may be above zero
+        h = np.zeros((4, 40))
+        h[list(rows)] = np.linalg.lstsq(basis[:, list(rows)], target, rcond=None)[0]
+        best = np.minimum(best, np.where((h >= 0).all(axis=0), np.linalg.norm(basis @ h - target, axis=0), np.inf))
+    h = F.exact_nonnegative(basis, target)
+    assert h.min() >= 0 and np.allclose(np.linalg.norm(basis @ h - target, axis=0), best)
+
+    points = rng.standard_normal((60, 2))
+    points = np.vstack([points, points[:10], [[0.0, 0.0]]])
+    corners = points[F.hull_of(points)]
+    edges = np.roll(corners, -1, axis=0) - corners
+    assert min((e[0] * (points[:, 1] - c[1]) - e[1] * (points[:, 0] - c[0])).min() for e, c in zip(edges, corners)) > -1e-9
+    assert F.hull_of(np.zeros((5, 2))) == [0]
+
+    x = rng.random((5, 12))
+    assert F.SIVM_SEARCH(x, 3).choose() == list(max(combinations(range(12), 3), key=lambda t: F.simplex_volume(x[:, list(t)])))
+
+    x = np.concatenate([rng.normal([[5.0], [0.0]], 0.1, (2, 30)), [[0.0], [40.0]]], axis=1)
+    assert F.GMAP(x, 1).choose() == [30] and F.GMAP(x, 1, kind="pca", robust=True).choose() != [30]  # a lone long column is passed over
+
+
 @pytest.mark.parametrize("method", ["NMF", "SNMF", "CNMF", "RNMF", "NMFALS", "NMFNNLS", "PCA", "SVD", "CUR", "CMD", "CURSL", "GREEDY", "GREEDYCUR", "SIVM_CUR", "SUB", "AA", "CHNMF", "SIVM", "SIVM_SEARCH", "SIVM_SGREEDY", "SIVM_GSAT", "GMAP", "LAESA", "Kmeans", "Cmeans", "BNMF", "NNDSVD"])
 def test_factorisation(method):
     from segmentry.operators import factor
