@@ -44,6 +44,14 @@ class FeatureParamsError(SegmentationError):
     """Feature parameters contradict each other or the stored ones."""
 
 
+class FeaturesNotFound(SegmentationError):
+    """A feature file is of another duration, rate, hop or audio file."""
+
+
+class NoFeaturesFileError(SegmentationError):
+    """A feature file is absent."""
+
+
 class WrongFeaturesFormatError(SegmentationError):
     """A stored feature lacks a part."""
 

@@ -314,6 +314,44 @@ def test_feature_file(spark, tmp_path):
     assert feat.read_feature_file(spark, path, "pcp", rate=44100).count() == 0
 
 
+def test_feature_cache(spark, tmp_path):
+    from segmentry.plans.registry import FeatureTypeNotFound
+    from segmentry.sources import annotations as ann
+    from segmentry.sources import feature_cache as cache
+
+    (tmp_path / "audio").mkdir()
+    tone(tmp_path / "audio" / "t_1.wav")
+    files, path = ann.dataset(spark, str(tmp_path)).cache(), tmp_path / "features" / "t_1.json"
+    files.count()
+    first = cache.cached_features(files, "pcp").collect()
+    stored = json.loads(path.read_text())
+    assert len(first) == len(stored["pcp"]["framesync"]) and set(stored) == {"globals", "est_beats", "est_beatsync_times", "pcp"}
+    assert [r["t"] for r in cache.cached_features(files, "pcp", "est_beatsync").collect()] == stored["est_beatsync_times"]
+    cache.cached_features(files, "tempogram", params={"win": 64}).collect()
+    assert json.loads(path.read_text())["tempogram"]["params"] == {"win": "64"} and json.loads(path.read_text())["pcp"] == stored["pcp"]  # put beside
+    assert len(cache.cached_features(files, "tempogram", params={"win": 32}).first()["vec"]) == 32
+    assert "pcp" in json.loads(path.read_text())
+    with pytest.raises(Exception, match="no annotated beats"):
+        cache.cached_features(files, "pcp", "ann_beatsync").collect()
+    with pytest.raises(FeatureTypeNotFound):
+        cache.cached_features(files, "pcp", "nothing")
+    assert abs(cache.read_durations(spark, str(path)).first()["dur"] - 6) < 0.01
+
+    marked = files.selectExpr("*", "array(1.0D, 2.5D) AS ann_beats")
+    synced = cache.cached_features(marked, "pcp", "ann_beatsync").collect()
+    assert len(synced) == 3 and {"tempogram", "ann_beats"} < set(json.loads(path.read_text()))
+    cache.cached_features(files.selectExpr("*", "array(2.0D) AS ann_beats"), "mfcc").collect()  # other beats, other rates: a new file
+    assert set(json.loads(path.read_text())) == {"globals", "est_beats", "est_beatsync_times", "ann_beats", "ann_beatsync_times", "mfcc"}
+    cache.cached_features(files, "pcp", rate=11025).collect()
+    assert "mfcc" not in json.loads(path.read_text())
+    path.write_text("{")
+    assert cache.cached_features(files, "pcp").collect() == first  # a broken file is written anew
+    os.remove(tmp_path / "audio" / "t_1.wav")
+    assert cache.cached_features(files, "pcp").collect() == first  # the file serves without audio
+    with pytest.raises(Exception, match="is absent"):
+        cache.cached_features(files, "pcp", hop=512).collect()
+
+
 def test_settings(spark):
     from segmentry.config import Settings
 
