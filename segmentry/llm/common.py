@@ -8,7 +8,9 @@ import gc
 import sys
 import tempfile
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 # Functions of this subpackage travel to the executors by value, so a cluster needs no copy of the repository.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
 
-#: Rows whose texts are Python objects at one time in a worker.
-SLICE = 256
+#: Rows, and bytes of their texts, that are Python objects at one time in a worker; a longer text is alone.
+SLICE, SLICE_BYTES = 256, 4 << 20
 #: Largest table, in rows of a few numbers each, that is ever broadcast (64 MB at 32 bytes a row).
 BROADCAST_ROWS = 2_000_000
 
@@ -49,14 +51,29 @@ def once(key, build):
     return kept[key]
 
 
+def slices(batch: pa.RecordBatch, rows: int):
+    """The parts of a batch, of at most so many rows and SLICE_BYTES bytes of texts; a row of more is a part of its own."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    at = held = 0
+    for k, n in enumerate(size.tolist()):
+        if k - at == rows or k > at and held + n > SLICE_BYTES:
+            yield batch.slice(at, k - at)
+            at, held = k, 0
+        held += n
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def per_slice(make, schema: pa.Schema, size: int = SLICE):
     """A function for mapInArrow: make() gives a task's f(columns as lists) -> columns as lists."""
 
     def run(batches):
         f = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
+            for part in slices(batch, size):
                 out = f(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
             del batch
