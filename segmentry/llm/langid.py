@@ -65,10 +65,10 @@ class Words:
         self.text = text[real.to_numpy(zero_copy_only=False)]
 
 
-def in_cuts(batches, column: int):
-    """Batches cut into parts of at most CUT_BYTES bytes of text; a longer text is a part of its own."""
+def in_cuts(batches, text):
+    """Batches cut into parts of at most CUT_BYTES bytes of text(batch); a longer text is a part of its own."""
     for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.binary_length(text(batch)), 0).to_numpy(zero_copy_only=False)
         at = held = 0
         for k, n in enumerate(size.tolist()):
             if k > at and held + n > CUT_BYTES:
@@ -234,7 +234,7 @@ def learn(train: DataFrame, pieces: list[str], text: str = "text", lang: str = "
         lattice = Lattice(shared.value)
         flat = np.full(lattice.size, 1 / lattice.size)
         totals: dict[str, np.ndarray] = {}
-        for part in in_cuts(batches, 0):
+        for part in in_cuts(batches, lambda b: b.column(0)):
             words, of = Words(part.column(0)), part.column(1).dictionary_encode()
             n = len(of.dictionary)
             pairs, times = np.unique(words.place.astype(np.int64) * n + of.indices.to_numpy(zero_copy_only=False)[words.text], return_counts=True)
@@ -276,8 +276,11 @@ class Scorer:
         return best, score
 
 
-def predict(df: DataFrame, pieces: list[str], langs: list[str], model: np.ndarray, text: str = "text", passed: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The passed columns, then lang_pred and score (the posterior of lang_pred)."""
+def predict(df: DataFrame, pieces: list[str], langs: list[str], model: np.ndarray, text: str = "text", passed: tuple[str, ...] = ("doc_id",), inside: int | None = None) -> DataFrame:
+    """The passed columns, then lang_pred and score (the posterior of lang_pred).
+
+    inside: the place of the text among the fields of the last passed column, a struct, so that the text is sent to the workers once.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     shared = df.sparkSession.sparkContext.broadcast((pieces, langs, model))
@@ -285,16 +288,21 @@ def predict(df: DataFrame, pieces: list[str], langs: list[str], model: np.ndarra
     schema = pa.schema([*to_arrow_schema(types), ("lang_pred", pa.string()), ("score", pa.float64())])
     key = "langid", hashlib.sha256(repr((pieces, langs)).encode() + model.tobytes()).hexdigest()
 
+    def texts(batch):
+        last = batch.column(batch.num_columns - 1)
+        return last if inside is None else pc.struct_field(last, [inside])
+
     def run(batches):
         scorer = once(key, lambda: Scorer(*shared.value))
-        for batch in in_cuts(batches, -1):
-            best, score = scorer(batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best, pa.string()), pa.array(score, pa.float64())], schema=schema)
+        for batch in in_cuts(batches, texts):
+            best, score = scorer(texts(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], pa.array(best, pa.string()), pa.array(score, pa.float64())], schema=schema)
 
     from pyspark.sql import types as T
 
     out = T.StructType([*types.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return df.select(*passed, F.col(text).alias("__text")).mapInArrow(run, out)
+    own = [] if inside is not None else [F.col(text).alias("__text")]
+    return df.select(*passed, *own).mapInArrow(run, out)
 
 
 def vocabulary() -> str:
@@ -320,6 +328,6 @@ def reject(spark: SparkSession, docs: DataFrame, least: float = 0.5) -> DataFram
     pieces = read_pieces(vocabulary())
     langs, model = learn(docs.where(~held_out()), pieces)
     # one column holds the row, so that no name of it can clash
-    rows = docs.select(F.struct("*").alias("doc"), "text")
-    out = predict(rows, pieces, langs, model, passed=("doc",))
+    rows = docs.select(F.struct("*").alias("doc"))
+    out = predict(rows, pieces, langs, model, passed=("doc",), inside=docs.columns.index("text"))
     return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("doc.*")
