@@ -1,17 +1,21 @@
-"""Near duplicates by the Jaccard similarity of word shingles, for the pipeline.
+"""Near duplicates by the Jaccard similarity of word shingles, for the pipeline: SimHash, vantage-point shards, whole sets.
 
 Two texts are near duplicates if their sets of WIDTH-word shingles have a similarity of SIMILARITY or more; groups are the
-transitive closure. A 64-bit SimHash alone can't tell this: texts of similarity 0.8 are some 10 bits apart, and no tree
-prunes at that radius. So min-hash bands propose pairs, the Hamming distance of the fingerprints drops the hopeless
-ones, and the whole shingle sets of the others are compared.
-
-* Equal texts are one node. A node has BANDS band values of ROWS minima each; a pair of similarity 0.8 shares a band with
-  probability 1 - (1 - 0.8^5)^25 = 0.99995, a more similar one with a higher one.
-* First every node of a bucket is compared with the bucket's first node only, so a group of copies costs a star, not all pairs.
-* Then, in buckets whose nodes are still of different groups, nodes of different groups are compared with each other inside the
-  tasks, with lists of the nodes of each shingle; big buckets are cut into cells and dealt out in pairs of cells. Only links that join
-  two groups leave a task, so a group of near misses costs no rows of pairs. No link between groups that share a bucket is lost, and
-  pairs inside a group that is known already are never made.
+transitive closure. The method is that of simhash_vp, with fingerprints long enough for that similarity: of op3's 64 bits such
+texts differ in some 10, beyond any radius that a table of 64 bits can be searched for.
+
+* Equal texts are one node. Its fingerprint has a bit per bit position of the hashes of its distinct shingles, set where more than half
+  have it. Repeats don't count, since the similarity is one of sets. Sets of similarity 0.8 differ in 15 % of the bits.
+* The search is a forest, as in simhash_vp: a tree partitions the fingerprints by the distance on bits of its own, and the bound for radius 0
+  leaves one shard. A pair of similarity 0.8 agrees wholly on the 8 bits of a tree with probability 0.27, and on those of one of 32 trees with 0.99995;
+  larger tables take more bits and more trees for the same probability (see forest). Sets of at most SMALL shingles, whose
+  bits are few values of chance, are in shards of their smallest hashes too, one of which any two similar ones share.
+* In a shard the distance to the vantage point gives rings; only the same and neighbouring rings are compared (the triangle bound), and of them
+  only sets whose sizes can be similar. Big shards are cut into cells and dealt out in pairs of cells.
+* First every member of a shard links to one member within RADIUS, so a group of copies costs a star, not all pairs; whole sets verify the links.
+* Then members within RADIUS of one of another group are compared by their whole sets inside the tasks, with lists of the nodes
+  of each shingle. Only links that join two groups leave a task, so a group of near misses costs no rows of pairs. No link between
+  groups that the fingerprints find is lost, and pairs inside a group that is known already are never made.
 
 Joins on a node, text or group of very many rows take the few frequent keys apart (see joined).
 
@@ -23,6 +27,7 @@ its own; of equal rows one stays.
 from __future__ import annotations
 
 from itertools import accumulate, repeat
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +35,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, give_back, joined, keep, per_slice, small_or_not
-from .simhash_vp import fingerprint, words_of
+from .simhash_vp import words_of
 
 WIDTH, SIMILARITY = 5, 0.8
-BANDS, ROWS = 25, 5
-#: Texts of similarity SIMILARITY are 9.7 +- 2.9 bits apart; 24 bits are five of these deviations more.
-MOST_BITS = 24
-#: Links of a node, and nodes of a bucket and shingles of their sets, in one part.
+#: Share of the bits in which sets of similarity SIMILARITY agree, and the probability that such a pair shares no shard.
+AGREE, MISS = 1 - acos(2 * SIMILARITY / (1 + SIMILARITY)) / pi, 5e-5
+#: 64-bit words of the fingerprints that are compared, and the radius. Sets of similarity SIMILARITY are 39 +- 6 of the 256 bits
+#: apart, those of 4 and 5 shingles 48 +- 6, unrelated ones 128 +- 8.
+WORDS, RADIUS = 4, 80
+#: Least bits of a tree, and members of a shard that more rows get more bits for.
+BITS, SHARD = 8, 1000
+#: Shingles of a set that is in shards of its smallest hashes too.
+SMALL = 16
+#: Links of a node, and nodes of a shard and shingles of their sets, in one part; a part is two cells at most.
 DEGREE, CELL, CELL_SHINGLES = 10_000, 1000, 1_000_000
+#: Rows of a part that are compared with others at one time.
+BLOCK = 64
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -56,45 +69,57 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, len(words) - width + 1))
 
 
-def band_values(hashes: np.ndarray) -> np.ndarray:
-    """BANDS values of ROWS minima each; none for the empty set."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    rng = np.random.default_rng(17)
-    a, b = rng.integers(1, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+def forest(rows: int) -> tuple[int, int]:
+    """Bits of a tree and number of trees, for tables of so many rows."""
+    bits = max(BITS, round(log2(max(1, rows) / SHARD)))
+    return bits, ceil(log(MISS) / log(1 - AGREE**bits))
+
+
+def fingerprint(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """64 * words bits of a set that isn't empty, each set where more than half of the shingles have it; ties go by the smallest hash."""
+    salt = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.zeros(64 * words, np.int64)
+    first = None
     for at in range(0, len(hashes), 4096):
-        x = hashes[at : at + 4096] * (2 * a + np.uint64(1)) + b
-        least = np.minimum(least, ((x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)).min(axis=1))
-    value = np.zeros(BANDS, np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        value = (value ^ row) * np.uint64(0xD6E8FEB86659FD93)
-        value ^= value >> np.uint64(32)
-    return value.view(np.int64)
+        x = hashes[at : at + 4096, None] + salt
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1)
+        first = bits[0].astype(np.int64) if first is None else first
+        counts += bits.sum(axis=0, dtype=np.uint16)
+    return counts * 2 + first > len(hashes)
+
+
+def shards_of(hashes: np.ndarray, bits: np.ndarray, each: int, trees: int) -> list[int]:
+    """The numbers of a set's shards: one of each tree, and of a small set those of its smallest hashes."""
+    keys = bits[: each * trees].reshape(trees, each) @ (1 << np.arange(each))
+    shards = ((np.arange(trees) << 32) + keys).tolist()
+    if len(hashes) <= SMALL:
+        # of similar sets one holds at least SIMILARITY of the other, so these hashes can't all be different
+        shards += [1 << 62 | int(h) >> 2 for h in hashes[: len(hashes) - ceil(SIMILARITY * len(hashes) - 1e-9) + 1]]
+    return shards
 
 
 def signatures(docs: DataFrame, text: str, id_column: str) -> DataFrame:
-    """(doc_id, key, fp, n, bands) of every row with an id: key is a hash of the text, n the size of its set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("fp", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """(doc_id, key, n, fp, shards) of every row with an id: key is a hash of the text, n the size of its set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("fp", pa.list_(pa.int64())), ("shards", pa.list_(pa.int64()))])
+    each, trees = forest(docs.count())
+    words = max(WORDS, ceil(each * trees / 64))
 
     def f(ids, keys, texts):
         sets = [shingle_set(t) for t in texts]
-        prints = [fingerprint(t, WIDTH) for t in texts]
-        return [ids, keys, [p - (1 << 64) if p >> 63 else p for p in prints], [len(s) for s in sets], [band_values(s) for s in sets]]
+        bits = [fingerprint(s, words) if len(s) else None for s in sets]
+        prints = [[] if b is None else np.packbits(b[: 64 * WORDS]).view(np.int64) for b in bits]
+        return [ids, keys, [len(s) for s in sets], prints, [[] if b is None else shards_of(s, b, each, trees) for s, b in zip(sets, bits)]]
 
     rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long"), key_of(text), text)
-    return keep(rows.mapInArrow(per_slice(lambda: f, schema), "doc_id long, key binary, fp long, n long, bands array<long>"))
+    return keep(rows.mapInArrow(per_slice(lambda: f, schema), "doc_id long, key binary, n long, fp array<long>, shards array<long>"))
 
 
 def key_of(text: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
-def possible(a_fp, a_n, b_fp, b_n) -> Column:
-    """Whether two sets can be similar, by their sizes and fingerprints."""
-    return (F.least(a_n, b_n) >= SIMILARITY * F.greatest(a_n, b_n)) & (F.bit_count(a_fp.bitwiseXOR(b_fp)) <= MOST_BITS)
-
-
 def sets_of(nodes: DataFrame, members: DataFrame, docs: DataFrame, text: str, id_column: str) -> DataFrame:
     """(node, s): the shingle sets of the nodes, from the texts; nodes: (node), distinct."""
     nodes = keep(nodes.join(members.select("node", "id", "key"), "node"))
@@ -108,8 +133,7 @@ def sets_of(nodes: DataFrame, members: DataFrame, docs: DataFrame, text: str, id
 
 
 def verified(edges: DataFrame, members: DataFrame, docs: DataFrame, text: str, id_column: str) -> DataFrame:
-    """The edges (a, b) whose whole shingle sets are similar."""
-    edges = keep(edges)
+    """The edges (a, b) whose whole shingle sets are similar; edges are kept rows."""
     sets = sets_of(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), members, docs, text, id_column)
     # the set of a node of very many links goes to several parts
     hubs = keep(edges.groupBy("a").agg(F.ceil(F.count("*") / DEGREE).cast("int").alias("parts")).where("parts > 1"))
@@ -176,30 +200,146 @@ def parts_links(batches):
     give_back()
 
 
-def between_groups(dealt: DataFrame, roots: DataFrame, members: DataFrame, docs: DataFrame, text: str, id_column: str) -> DataFrame:
-    """Links (a, b) of groups: a node of one shares a bucket with a node of the other, and their sets are similar."""
-    known = dealt.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def near_pairs(fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i < j, of the members of a part within RADIUS whose sizes can be similar, sorted; fp: a row of words each, n: sizes, ascending."""
+    # distances to the vantage point; members of rings that aren't neighbours are further than RADIUS apart
+    ring = np.bitwise_count(fp ^ fp[0]).sum(axis=1, dtype=np.int64) // (RADIUS + 1)
+    rings = [np.flatnonzero(ring == k) for k in range(int(ring.max()) + 1)]
+    words = np.ascontiguousarray(fp.T)
+    found = []
+    for k, x in enumerate(rings):
+        for y in rings[k : k + 2]:
+            size, x_words, y_words = n[y], words[:, x], words[:, y]
+            for at in range(0, len(x), BLOCK):
+                own = n[x[at : at + BLOCK]]
+                low = at if y is x else int(np.searchsorted(size, int(SIMILARITY * own[0]), "left"))
+                high = int(np.searchsorted(size, ceil(own[-1] / SIMILARITY), "right"))
+                if low >= high:
+                    continue
+                apart = np.zeros((len(own), high - low), np.uint16)
+                for u, v in zip(x_words[:, at : at + BLOCK], y_words[:, low:high]):
+                    apart += np.bitwise_count(u[:, None] ^ v)
+                i, j = np.nonzero(apart <= RADIUS)
+                i, j = x[i + at], y[j + low]
+                if y is x:
+                    i, j = i[i < j], j[i < j]
+                if len(i):
+                    found.append(np.stack([np.minimum(i, j), np.maximum(i, j)]).astype(np.int32))
+    if not found:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    i, j = np.concatenate(found, axis=1)
+    order = np.lexsort((j, i))
+    return i[order], j[order]
+
+
+def stars(i: np.ndarray, j: np.ndarray, members: int) -> list[tuple[int, int]]:
+    """Some of the sorted pairs (i, j), fewer than members: every member of a pair is in one, most with a member that many are near."""
+    free = np.ones(members, bool)
+    out = []
+    starts = np.flatnonzero(np.diff(i, prepend=-1))
+    for x, near in zip(i[starts].tolist(), np.split(j, starts[1:])):
+        new = near[free[near]]
+        if len(new):
+            out += [(x, y) for y in new.tolist()]
+            free[new] = free[x] = False
+        elif free[x]:
+            out.append((int(near[0]), x))
+            free[x] = False
+    return out
+
+
+def whole_parts(batches):
+    """The parts of rows sorted by their first column, each an array of longs; all columns are longs."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+        if not len(rows):
+            continue
+        if held and held[-1][0, 0] != rows[0, 0]:
+            yield np.concatenate(held)
+            held.clear()
+        first, *more = np.split(rows, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1)
+        held.append(first)
+        if more:
+            yield np.concatenate(held)
+            yield from more[:-1]
+            held[:] = more[-1:]
+    if held:
+        yield np.concatenate(held)
+
+
+def star_links(batches):
+    """Rows (part, node, n, words of fp) sorted by part, to rows (a, b): links of every node that is within RADIUS of another."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for rows in whole_parts(batches):
+        if len(rows) < 2:
+            continue
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 2]))]
+        i, j = near_pairs(np.ascontiguousarray(rows[:, 3:]).view(np.uint64), rows[:, 2])
+        if len(i):
+            a, b = rows[np.array(stars(i, j, len(rows))).T, 1]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+    give_back()
+
+
+def clusters(batches):
+    """Rows (part, node, n, words of fp, root) sorted by part, to rows (part, node, root): nodes that pairs of different roots within RADIUS connect."""
+    import xxhash
+
+    schema = pa.schema([("part", pa.int64()), ("node", pa.int64()), ("root", pa.int64())])
+    for rows in whole_parts(batches):
+        if len(rows) < 2 or (rows[:, -1] == rows[0, -1]).all():
+            continue
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 2]))]
+        node, root = rows[:, 1], rows[:, -1]
+        i, j = near_pairs(np.ascontiguousarray(rows[:, 3:-1]).view(np.uint64), rows[:, 2])
+        i, j = i[root[i] != root[j]], j[root[i] != root[j]]
+        if not len(i):
+            continue
+        label = np.arange(len(rows))
+        while (label[i] != label[j]).any():
+            np.minimum.at(label, i, label[j])
+            np.minimum.at(label, j, label[i])
+            label = label[label]
+        live = np.unique(np.concatenate([i, j]))
+        live = live[np.lexsort((node[live], label[live]))]
+        for one in np.split(live, np.flatnonzero(np.diff(label[live])) + 1):
+            # the same nodes of another tree get the same number
+            number = xxhash.xxh64_intdigest(node[one].tobytes()) >> 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), number)), pa.array(node[one]), pa.array(root[one])], schema=schema)
+    give_back()
+
+
+def dealt(members: DataFrame, *more: str) -> DataFrame:
+    """(part, node, n, words of fp, more) sorted by part: members (node, n, fp, shards, more) by shard, those of big shards in pairs of cells."""
+    rows = members.select("node", "n", *[F.col("fp")[k].alias(f"f{k}") for k in range(WORDS)], *more, F.explode("shards").alias("shard"))
     cells = F.ceil(F.greatest(F.count("*") / CELL, F.sum("n") / CELL_SHINGLES)).cast("int")
-    mixed = keep(known.groupBy("band", "v").agg(F.min("root").alias("low"), F.max("root").alias("high"), cells.alias("cells")).where("low <> high").select("band", "v", "cells"))
-    rows = known.join(small_or_not(mixed, mixed.count()), ["band", "v"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda c: F.struct(F.least("own", c).alias("low"), F.greatest("own", c).alias("high")))
-    rows = keep(rows.select("node", "root", F.explode(pair).alias("pair"), "band", "v").select("node", "root", F.struct("band", "v", "pair.low", "pair.high").alias("part")))
+    # two cells are one part anyway
+    hot = keep(rows.groupBy("shard").agg(F.count("*").alias("size"), cells.alias("cells")).where("cells > 2 and size > 2").select("shard", "cells"))
+    rows = rows.join(small_or_not(hot, hot.count()), "shard", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    others = F.array_remove(F.sequence(F.lit(0), F.col("cells") - 1), F.col("own"))
+    pairs = F.transform(others, lambda c: F.xxhash64("shard", F.least("own", c), F.greatest("own", c)))
+    part = F.explode(F.when(F.col("cells").isNull(), F.array("shard")).otherwise(pairs)).alias("part")
+    return rows.select(part, "node", "n", *[f"f{k}" for k in range(WORDS)], *more).repartition("part").sortWithinPartitions("part")
+
+
+def between_groups(near: DataFrame, members: DataFrame, docs: DataFrame, text: str, id_column: str) -> DataFrame:
+    """Links (a, b) of groups: a node of one shares a shard with a node of the other, within RADIUS, and their sets are similar; near: (node, n, fp, shards, root)."""
+    rows = keep(dealt(near, "root").mapInArrow(clusters, "part long, node long, root long").distinct())
     sets = sets_of(rows.select("node").distinct(), members, docs, text, id_column)
-    place = F.xxhash64("part").alias("part")
-    together = rows.select(place, "node", "root").join(sets, "node").select("part", "root", "s")
+    together = rows.join(sets, "node").select("part", "root", "s")
     return together.repartition("part").sortWithinPartitions("part").mapInArrow(parts_links, "a long, b long").distinct()
 
 
 def groups(prints: DataFrame, docs: DataFrame, text: str, id_column: str) -> DataFrame:
     """(key, copies, root): the group of every text."""
-    members = prints.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    members = prints.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "fp", "shards")])
     members = keep(members.withColumn("node", F.monotonically_increasing_id()))
-    buckets = members.select("node", "fp", "n", F.posexplode("bands").alias("band", "v"))
-    stars = buckets.groupBy("band", "v").agg(F.min(F.struct("node", "fp", "n")).alias("c"), F.count("*").alias("size")).where("size > 1")
-    dealt = keep(buckets.join(stars, ["band", "v"]).select("band", "v", "node", "fp", "n", "c"))
-    star = dealt.where((F.col("node") != F.col("c.node")) & possible(F.col("fp"), F.col("n"), F.col("c.fp"), F.col("c.n"))).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+    star = keep(dealt(members).mapInArrow(star_links, "a long, b long").distinct())
     roots = keep(components(verified(star, members, docs, text, id_column)))
-    above = keep(components(between_groups(dealt.drop("c"), roots, members, docs, text, id_column))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    live = star.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    near = keep(members.select("node", "n", "fp", "shards").join(live, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    above = keep(components(between_groups(near, members, docs, text, id_column))).select(F.col("node").alias("root"), F.col("root").alias("top"))
     named = members.select("key", "copies", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return named.join(small_or_not(above, above.count()), "root", "left").select("key", "copies", F.coalesce("top", "root").alias("root"))
 

@@ -312,6 +312,43 @@ def test_near_misses_make_no_pairs(spark):
     assert sorted(r["doc_id"] for r in near_sets.one_of_each(docs).collect()) == sorted(set(want.values()))
 
 
+def test_near_sets_link_texts_that_differ_in_repeats(spark):
+    """Similar sets are near duplicates, however often a passage is repeated."""
+    words = [f"w{k}" for k in range(1000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:5] * 500 + words)), (3, " ".join(f"x{k}" for k in range(1000)))]
+    assert brute_groups(dict(rows)) == {1: 1, 2: 1, 3: 3}
+    assert sorted(r["doc_id"] for r in near_sets.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 3]
+
+
+def test_near_sets_are_found_by_fingerprints_in_shards():
+    """Shards are bits of the SimHash fingerprint, pairs of a shard those within the radius, and sets of similarity 0.8 meet."""
+    rng = np.random.default_rng(3)
+    each, trees = near_sets.forest(1000)
+    assert 1 - (1 - near_sets.AGREE**each) ** trees >= 0.99995
+    prints, sizes = [], []
+    for common, a, b in [(4, 0, 1), (12, 0, 3), (40, 5, 5), (240, 30, 30), (240, 0, 60)] * 12:
+        h = rng.integers(0, 1 << 63, common + a + b, dtype=np.uint64)
+        pair = [np.sort(h[: common + a]), np.sort(np.concatenate([h[:common], h[common + a :]]))]
+        bits = [near_sets.fingerprint(s) for s in pair]
+        mixed = [near_sets.shards_of(s, f, each, trees) for s, f in zip(pair, bits)]
+        for f, shards in zip(bits, mixed):
+            assert [s & 0xFFFFFFFF for s in shards[:trees]] == [int("".join(map(str, f[t * each : (t + 1) * each][::-1].astype(int))), 2) for t in range(trees)]
+        assert set(mixed[0]) & set(mixed[1]) and (bits[0] != bits[1]).sum() <= near_sets.RADIUS
+        prints += [np.packbits(f).view(np.uint64) for f in bits]
+        sizes += map(len, pair)
+    # complements are in the rings that are furthest from the vantage point
+    fp, n = np.concatenate([prints, ~np.array(prints)]), np.array(sizes * 2)
+    by = np.argsort(n, kind="stable")
+    fp, n = fp[by], n[by]
+    near = np.bitwise_count(fp[:, None] ^ fp).sum(axis=2) <= near_sets.RADIUS
+    want = {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near))) if i < j and n[i] >= near_sets.SIMILARITY * n[j]}
+    i, j = near_sets.near_pairs(fp, n)
+    got = set(zip(i.tolist(), j.tolist()))
+    assert len(want) >= 120 and want <= got and all(near[x] for x in got) and len(got) == len(i)
+    links = near_sets.stars(i, j, len(fp))
+    assert set(links) <= got | {(y, x) for x, y in got} and {x for p in links for x in p} == {x for p in got for x in p}
+
+
 def test_repeated_ids_keep_their_texts(spark):
     a, b = " ".join(f"x{k}" for k in range(30)), " ".join(f"y{k}" for k in range(30))
     rows = [(1, a, "p"), (1, b, "q"), (1, b, "q"), (2, b + " z", "r"), (3, a, "s")]
