@@ -513,3 +513,19 @@ def test_numbering_keeps_every_row(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_convex_weights_are_exact():
+    """Gradient steps stopped short of the least distance and took most of the time."""
+    from segmentry.operators import factor as F
+
+    rng = np.random.default_rng(5)
+    for k in (3, 20):
+        basis = rng.random((7, k)) * np.logspace(0, -2, 7)[:, None]
+        target = rng.random((7, 30))
+        h = F.convex_weights(basis, target)
+        slope = basis.T @ (basis @ h - target)
+        # at the least distance no corner lies further down the slope than the point itself
+        assert np.allclose(h.sum(axis=0), 1) and h.min() >= 0 and ((h * slope).sum(axis=0) - slope.min(axis=0)).max() < 1e-9
+    same = np.repeat(rng.random((7, 1)), 3, axis=1)
+    assert np.allclose(F.convex_weights(same, same[:, :1]).sum(axis=0), 1)
