@@ -542,3 +542,20 @@ def test_convex_hull_factorisation_is_quick():
     for _ in range(5):
         F.CHNMF(rng.random((7, 67)), 3).factorize(50)
     assert process_time() - began < 1
+
+
+def test_corner_search_queues_no_whole_sets(monkeypatch):
+    import heapq
+    from itertools import combinations
+
+    from segmentry.operators import factor as F
+
+    pushed, push = [], heapq.heappush
+    monkeypatch.setattr(heapq, "heappush", lambda q, v: (pushed.append(v), push(q, v)))
+    rng = np.random.default_rng(7)
+    for n, rank in ((30, 3), (12, 4), (9, 2), (9, 1)):
+        x = rng.random((6, n))
+        got = F.SIVM_SEARCH(x, rank).choose()
+        assert max((len(v[2]) for v in pushed), default=0) < max(rank, 2)
+        if rank == 3:
+            assert got == list(max(combinations(range(n), rank), key=lambda t: F.simplex_volume(x[:, list(t)])))
