@@ -559,3 +559,14 @@ def test_corner_search_queues_no_whole_sets(monkeypatch):
         assert max((len(v[2]) for v in pushed), default=0) < max(rank, 2)
         if rank == 3:
             assert got == list(max(combinations(range(n), rank), key=lambda t: F.simplex_volume(x[:, list(t)])))
+
+
+def test_greedy_corners_equal_one_by_one(monkeypatch):
+    from segmentry.operators import factor as F
+
+    x = np.random.default_rng(8).random((7, 40))
+    d, out = F.pdist(x, x), [F.SIVM(x, 4).first()]
+    for _ in range(3):
+        out.append(max((k for k in range(40) if k not in out), key=lambda k: F.cayley_menger(d[np.ix_([*out, k], [*out, k])])))
+    monkeypatch.setattr(F, "cayley_menger", None)  # candidates are measured together
+    assert F.SIVM_SGREEDY(x, 4).choose() == out
