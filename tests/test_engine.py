@@ -570,3 +570,13 @@ def test_greedy_corners_equal_one_by_one(monkeypatch):
         out.append(max((k for k in range(40) if k not in out), key=lambda k: F.cayley_menger(d[np.ix_([*out, k], [*out, k])])))
     monkeypatch.setattr(F, "cayley_menger", None)  # candidates are measured together
     assert F.SIVM_SGREEDY(x, 4).choose() == out
+
+
+def test_exchanged_corners_equal_one_by_one(monkeypatch):
+    from segmentry.operators import factor as F
+
+    x, out = np.random.default_rng(9).random((7, 40)), [0, 1, 2, 3]
+    for k in range(4, 40):
+        out = F.exchange(x, out, k)
+    monkeypatch.setattr(F, "simplex_volume", None)  # distances are measured once
+    assert F.SIVM_GSAT(x, 4).choose() == out
