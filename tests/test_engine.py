@@ -554,6 +554,7 @@ def test_corner_search_queues_no_whole_sets(monkeypatch):
     monkeypatch.setattr(heapq, "heappush", lambda q, v: (pushed.append(v), push(q, v)))
     rng = np.random.default_rng(7)
     for n, rank in ((30, 3), (12, 4), (9, 2), (9, 1)):
+        pushed.clear()
         x = rng.random((6, n))
         got = F.SIVM_SEARCH(x, rank).choose()
         assert max((len(v[2]) for v in pushed), default=0) < max(rank, 2)
@@ -580,3 +581,35 @@ def test_exchanged_corners_equal_one_by_one(monkeypatch):
         out = F.exchange(x, out, k)
     monkeypatch.setattr(F, "simplex_volume", None)  # distances are measured once
     assert F.SIVM_GSAT(x, 4).choose() == out
+
+
+def test_hierarchy_measure_equals_brute_force():
+    """Every sample was compared with its whole window, one by one: minutes for an hour of one sequence."""
+    from time import process_time
+
+    from segmentry.plans import kernels as K
+
+    def depth(levels, i, j, step):
+        return max([k for k, b in enumerate(levels, 1) if np.searchsorted(b, i * step + 1e-9, "right") == np.searchsorted(b, j * step + 1e-9, "right")], default=0)
+
+    def plain(ref, est, n, window, step, transitive):
+        shares = []
+        for q in range(n):
+            own = [(depth(ref, q, j, step), depth(est, q, j, step)) for j in range(max(0, q - window), min(n, q + window + 1)) if j != q]
+            found = sorted({r for r, _ in own})
+            both = [(a, b) for k, a in enumerate(found) for b in (found[k + 1 :] if transitive else found[k + 1 : k + 2])]
+            pairs = [(e, f) for a, b in both for r, e in own for s, f in own if (r, s) == (a, b)]
+            if pairs:
+                shares.append(sum(e < f for e, f in pairs) / len(pairs))
+        return float(np.mean(shares)) if shares else 0.0
+
+    ref = [np.array([0.0, 12.0]), np.array([0.0, 5.0, 12.0]), np.array([0.0, 2.0, 5.0, 8.5, 12.0])]
+    est = [np.array([0.0, 12.0]), np.array([0.0, 6.0, 12.0]), np.array([0.0, 4.0, 7.0, 9.0, 12.0])]
+    n = 24
+    for a, b in ((ref, est), (est, ref)):
+        counts = K.depths_about(K.segment_numbers(a, n, 0.5), K.segment_numbers(b, n, 0.5), 9)
+        for transitive in (False, True):
+            assert abs(K.t_recall(counts, transitive) - plain(a, b, n, 9, 0.5, transitive)) < 1e-12
+    long = [np.array([0.0, 900.0]), np.arange(0.0, 901.0, 30.0)]
+    began = process_time()
+    assert K.t_measures(long, long, 15) == (1.0, 1.0, 1.0) and process_time() - began < 1
