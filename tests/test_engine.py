@@ -623,3 +623,25 @@ def test_hierarchy_has_every_level():
     levels = K.olda(x, None, {"hier": True}, 0)
     assert [len(b) - 1 for b, _ in levels[1:-1]] == [*range(6, 21)][: len(levels) - 2] or len(levels) == 17
     assert len(levels) == 17 and len(K.N.adjacent_ward(x, 7)) == 7
+
+
+def test_kmeans_leaves_finished_runs_alone():
+    from segmentry.plans import numeric as N
+
+    class Counted(np.ndarray):
+        rows = 0
+
+        def __rmatmul__(self, other):
+            return np.asarray(other) @ np.asarray(self)
+
+        def __matmul__(self, other):
+            Counted.rows += len(other) if other.ndim == 3 else 0
+            return np.asarray(self) @ other
+
+        def __rmul__(self, other):
+            return (np.asarray(self) * other).view(Counted)
+
+    x = np.random.default_rng(2).random((60, 3))
+    centres, labels = N.kmeans(x.view(Counted), 6, restarts=40, seed=1)
+    assert np.allclose(centres, [x[labels == k].mean(axis=0) for k in range(6)])
+    assert 40 < Counted.rows < 40 * 14  # as many for each run as it takes, not as many as the slowest takes
