@@ -645,3 +645,16 @@ def test_kmeans_leaves_finished_runs_alone():
     centres, labels = N.kmeans(x.view(Counted), 6, restarts=40, seed=1)
     assert np.allclose(centres, [x[labels == k].mean(axis=0) for k in range(6)])
     assert 40 < Counted.rows < 40 * 14  # as many for each run as it takes, not as many as the slowest takes
+
+
+def test_oracle_is_quick():
+    """1.3 s for 10 sequences of 67 frames before."""
+    from time import process_time
+
+    from segmentry.plans import kernels as K
+    from segmentry.plans import registry as G
+
+    rng, began = np.random.default_rng(3), process_time()
+    for _ in range(10):
+        K.vmo(rng.random((67, 7)), None, G.ALGORITHMS["vmo"].defaults, 0)
+    assert process_time() - began < 0.8
