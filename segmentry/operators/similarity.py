@@ -59,8 +59,9 @@ def ssm(packed: DataFrame, kind: str = "seuclidean") -> DataFrame:
 def nearest(packed: DataFrame, k: Column | int, width: int = 1) -> DataFrame:
     """Adds nn: for every position its k nearest ones, at least width away; ties go to the lower position."""
     k = k if isinstance(k, Column) else F.lit(k)
-    others = lambda d, i: F.transform(F.filter(A.positions(d), lambda j: F.abs(i - j) >= width), lambda j: F.struct(A.cell(d, i, j).alias("d"), j.alias("j")))
-    ranked = V.let(all_pairs(F.col("x"), V.euclidean), lambda d: F.transform(A.positions(d), lambda i: F.transform(F.slice(F.array_sort(others(d, i)), 1, F.greatest(k, F.lit(0))), lambda r: r["j"])))
+    # sort_array compares without a lambda; structs that are too near are sorted last and cut off
+    far = lambda r, i: F.filter(F.transform(r, lambda v, j: F.struct(v.alias("d"), j.alias("j"))), lambda s: F.abs(i - s["j"]) >= width)
+    ranked = V.let(all_pairs(F.col("x"), V.euclidean), lambda d: F.transform(d, lambda r, i: F.slice(F.sort_array(far(r, i)), 1, F.greatest(k, F.lit(0)))["j"]))
     return packed.withColumn("nn", ranked)
 
 

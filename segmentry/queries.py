@@ -14,6 +14,7 @@ from .operators import intervals as I  # noqa: E741
 from .operators import sequences as S
 from .operators import similarity as M
 from .plans import api
+from .plans import matrices as T
 from .plans import relational as R
 from .sources import annotations as ann
 from .sources import frames as src
@@ -426,7 +427,7 @@ def queries():
         "ssm_cosine": on_events(lambda p: upper(M.ssm(p, "cosine"), "ssm")),
         "ssm_covariance": on_events(lambda p: upper(M.ssm(p, "covariance"), "ssm")),
         "ssm_rbf": on_events(lambda p: upper(M.ssm(p, "rbf"), "ssm")),
-        "recurrence_knn": on_events(lambda p: cells(M.recurrence(p, knn_size(), 3, False), "rec").where("v > 0").withColumnRenamed("d", "j")),
+        "recurrence_knn": on_events(lambda p: T.cells(p, lambda x: T.recurrence(x, 3, False))),
         "recurrence_mutual": on_events(lambda p: cells(M.recurrence(p, knn_size(), 1, True), "rec").where("v > 0").withColumnRenamed("d", "j")),
         "lag_matrix": on_events(lambda p: cells(M.recurrence(p, knn_size()).withColumn("l", M.lag_matrix("rec")), "l").where("v > 0").withColumnRenamed("d", "j")),
         "path_similarity": on_events(lambda p: curve(M.path_similarity(S.normalise(p, "min_max")), "path")),

@@ -655,3 +655,15 @@ def test_oracle_reads_lists_of_distances():
     link, lrs = K.factor_oracle(N.euclidean(x, x).tolist(), 0.1)
     assert link == [-1, 0, 0, 0, 1, 2, 3, 0] and lrs == [0, 0, 0, 0, 1, 2, 3, 0]
     assert K.information_rate(lrs, [math.log2(i) for i in range(1, 8)]) > 0
+
+
+#: Queries whose matrices are made in NumPy and leave it as rows; as expressions every cell took microseconds.
+IN_NUMPY = ("recurrence_knn",)
+
+
+@pytest.mark.parametrize("name", IN_NUMPY)
+def test_matrices_are_made_in_numpy(spark, sf, name):
+    from segmentry.queries import queries
+
+    plan = queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan.partition("MapInArrow")[0]
