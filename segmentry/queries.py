@@ -428,7 +428,7 @@ def queries():
         "ssm_covariance": on_events(lambda p: upper(M.ssm(p, "covariance"), "ssm")),
         "ssm_rbf": on_events(lambda p: upper(M.ssm(p, "rbf"), "ssm")),
         "recurrence_knn": on_events(lambda p: T.cells(p, lambda x: T.recurrence(x, 3, False))),
-        "recurrence_mutual": on_events(lambda p: cells(M.recurrence(p, knn_size(), 1, True), "rec").where("v > 0").withColumnRenamed("d", "j")),
+        "recurrence_mutual": on_events(lambda p: T.cells(p, T.recurrence)),
         "lag_matrix": on_events(lambda p: cells(M.recurrence(p, knn_size()).withColumn("l", M.lag_matrix("rec")), "l").where("v > 0").withColumnRenamed("d", "j")),
         "path_similarity": on_events(lambda p: curve(M.path_similarity(S.normalise(p, "min_max")), "path")),
         "graph_degree": on_events(lambda p: curve(cosine_affinity(p), "deg_rec")),
