@@ -429,7 +429,7 @@ def queries():
         "ssm_rbf": on_events(lambda p: upper(M.ssm(p, "rbf"), "ssm")),
         "recurrence_knn": on_events(lambda p: T.cells(p, lambda x: T.recurrence(x, 3, False))),
         "recurrence_mutual": on_events(lambda p: T.cells(p, T.recurrence)),
-        "lag_matrix": on_events(lambda p: cells(M.recurrence(p, knn_size()).withColumn("l", M.lag_matrix("rec")), "l").where("v > 0").withColumnRenamed("d", "j")),
+        "lag_matrix": on_events(lambda p: T.cells(p, lambda x: T.N.to_lag(T.recurrence(x)))),
         "path_similarity": on_events(lambda p: curve(M.path_similarity(S.normalise(p, "min_max")), "path")),
         "graph_degree": on_events(lambda p: curve(cosine_affinity(p), "deg_rec")),
         "balanced_affinity": on_events(lambda p: cosine_affinity(p).select("track_id", r6("mu").alias("mu"), r6(V.total(F.transform("aff", V.total))).alias("total"))),
