@@ -431,7 +431,7 @@ def queries():
         "recurrence_mutual": on_events(lambda p: T.cells(p, T.recurrence)),
         "lag_matrix": on_events(lambda p: T.cells(p, lambda x: T.N.to_lag(T.recurrence(x)))),
         "path_similarity": on_events(lambda p: curve(M.path_similarity(S.normalise(p, "min_max")), "path")),
-        "graph_degree": on_events(lambda p: curve(cosine_affinity(p), "deg_rec")),
+        "graph_degree": on_events(lambda p: T.rows(p, lambda x: (T.np.arange(len(x)), T.affinity(x)[0]), "i long, v double")),
         "balanced_affinity": on_events(lambda p: cosine_affinity(p).select("track_id", r6("mu").alias("mu"), r6(V.total(F.transform("aff", V.total))).alias("total"))),
         "checkerboard_novelty": on_events(lambda p: curve(M.checkerboard_novelty(M.ssm(S.normalise(p, "min_max")), 16), "nc")),
         "foote_boundaries": kernel_bounds("foote", M_gaussian=16, m_median=4, L_peaks=8),
