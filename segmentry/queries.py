@@ -139,6 +139,11 @@ def cosine_affinity(packed: DataFrame) -> DataFrame:
     return M.balanced_affinity(M.recurrence(S.normalise(packed, "min_max"), knn_size()))
 
 
+def mu_and_total(x):
+    _, mu, aff = T.affinity(x)
+    return [mu], [aff.sum()]
+
+
 def cbm_segment_scores(spark, d):
     p = M.ssm(src.events_packed(spark, d), "cosine")
     p = p.withColumn("s", R.band_scores(F.col("ssm"), 16, 7))
@@ -432,7 +437,7 @@ def queries():
         "lag_matrix": on_events(lambda p: T.cells(p, lambda x: T.N.to_lag(T.recurrence(x)))),
         "path_similarity": on_events(lambda p: curve(M.path_similarity(S.normalise(p, "min_max")), "path")),
         "graph_degree": on_events(lambda p: T.rows(p, lambda x: (T.np.arange(len(x)), T.affinity(x)[0]), "i long, v double")),
-        "balanced_affinity": on_events(lambda p: cosine_affinity(p).select("track_id", r6("mu").alias("mu"), r6(V.total(F.transform("aff", V.total))).alias("total"))),
+        "balanced_affinity": on_events(lambda p: T.rows(p, mu_and_total, "mu double, total double").select("track_id", r6("mu").alias("mu"), r6("total").alias("total"))),
         "checkerboard_novelty": on_events(lambda p: curve(M.checkerboard_novelty(M.ssm(S.normalise(p, "min_max")), 16), "nc")),
         "foote_boundaries": kernel_bounds("foote", M_gaussian=16, m_median=4, L_peaks=8),
         "foote_boundaries_relational": on_events(lambda p: bounds(R.foote(p, **FOOTE))),
