@@ -474,7 +474,7 @@ def queries():
         "cmeans_membership": cmeans_membership,
         "session_segments": session_segments,
         "time_lag_median": on_events(lambda p: upper(time_lag_median(p), "m")),
-        "normalised_laplacian": on_events(lambda p: cells(cosine_affinity(p).withColumn("l", M.normalised_laplacian("aff")), "l").where("v <> 0").withColumnRenamed("d", "j")),
+        "normalised_laplacian": on_events(lambda p: T.cells(p, lambda x: T.laplacian(T.affinity(x)[2])).withColumn("v", r6("v")).where("v <> 0")),
         "ordinal_chroma": on_events(lambda p: cells(S.ordinal_chroma(p))),
         "value_decibel": on_events(lambda p: curve(value_decibel(p), "db")),
         "element_functions": element_functions,
