@@ -473,7 +473,7 @@ def queries():
         "norm_sampling_probabilities": norm_sampling_probabilities,
         "cmeans_membership": cmeans_membership,
         "session_segments": session_segments,
-        "time_lag_median": on_events(lambda p: upper(time_lag_median(p), "m")),
+        "time_lag_median": on_events(lambda p: T.upper(p, lambda x: T.N.diagonal_median(T.cosine(x), 5)).withColumn("v", r6("v"))),
         "normalised_laplacian": on_events(lambda p: T.cells(p, lambda x: T.laplacian(T.affinity(x)[2])).withColumn("v", r6("v")).where("v <> 0")),
         "ordinal_chroma": on_events(lambda p: cells(S.ordinal_chroma(p))),
         "value_decibel": on_events(lambda p: curve(value_decibel(p), "db")),
