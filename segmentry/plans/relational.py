@@ -1,4 +1,7 @@
-"""Boundary algorithms as column expressions over packed tracks; none needs a shuffle beyond the packing."""
+"""Boundary algorithms as column expressions over packed tracks; none needs a shuffle beyond the packing.
+
+The curves of foote and sf, which take all pairs of frames, are those of matrices.py; `operators/similarity.py` has the same steps as expressions.
+"""
 
 from __future__ import annotations
 
@@ -11,31 +14,27 @@ from ..functions import arrays as A
 from ..functions import vectors as V
 from ..operators import sequences as S
 from ..operators import similarity as M
+from . import matrices as T
 
 
 def foote(packed: DataFrame, m_gaussian: int = 66, m_median: int = 12, l_peaks: int = 64, norm: str | float | None = "min_max") -> DataFrame:
     """Adds nc (smoothed novelty), th and bounds: peaks of a checkerboard kernel along the diagonal of the similarity."""
     size = m_gaussian + m_gaussian % 2
-    p = M.checkerboard_novelty(M.ssm(S.median_smooth(S.normalise(packed, norm), m_median)), size)
+    p = S.median_smooth(S.normalise(packed, norm), m_median).where(F.size("x") > 1)
+    p = T.with_curve(p, lambda x: T.checkerboard_curve(x, size)).withColumn("nc", A.to_unit("nc", "min"))
     p = p.withColumn("__raw", F.col("nc")).withColumn("nc", A.gaussian_filter("__raw", 4.0))
     p = S.pick_peaks(S.adaptive_threshold(p, l_peaks, 1 / 20, base="__raw"))
-    return p.withColumn("bounds", S.with_ends(F.col("peaks"), F.size("x"))).drop("__raw", "ssm", "peaks")
-
-
-def structural_features(rec, m_gaussian: float) -> Column:
-    """The lag matrix smoothed along time (sigma m_gaussian / 2), then along lags (sigma 1 / 2): a row per time."""
-    lagged = M.lag_matrix(rec)
-    along_time = F.transform(lagged, lambda r: A.gaussian_filter(r, m_gaussian / 2))
-    return F.transform(S.columns_of(along_time), lambda r: A.gaussian_filter(r, 0.5))
+    return p.withColumn("bounds", S.with_ends(F.col("peaks"), F.size("x"))).drop("__raw", "peaks")
 
 
 def sf(packed: DataFrame, m_gaussian: int = 27, m_embedded: float = 3, k_nearest: float = 0.04, mp_adaptive: int = 28, offset: float = 0.05, norm: str | float | None = "inf") -> DataFrame:
     """Adds nc, th and bounds: peaks of the change of structural features. Tracks of 20 or fewer frames get their ends only."""
     p = S.normalise(packed, norm).withColumn("__n", F.size("x"))
     short = p.where("__n <= 20").select("track_id", F.array().cast("array<double>").alias("nc"), F.array().cast("array<double>").alias("th"), F.array_distinct(F.array(F.lit(0), F.col("__n") - 1)).alias("bounds"))
-    k = F.floor(k_nearest * F.col("__n")).cast("int")
-    q = M.recurrence(S.delay_embedding(p.where("__n > 20"), m_embedded), k)
-    q = q.withColumn("nc", A.to_unit(A.successive_distances(structural_features(F.col("rec"), m_gaussian)), "abs"))
+    # the embedding has ceil(m_embedded) frames fewer than the track
+    fewer = math.ceil(m_embedded)
+    q = T.with_curve(S.delay_embedding(p.where("__n > 20"), m_embedded), lambda x: T.structural_curve(x, int(k_nearest * (len(x) + fewer)), m_gaussian))
+    q = q.withColumn("nc", A.to_unit("nc", "abs"))
     q = S.pick_peaks(S.adaptive_threshold(q, mp_adaptive, offset))
     shift = math.ceil(m_embedded / 2)
     moved = F.transform("peaks", lambda i: i + shift)
