@@ -66,10 +66,6 @@ def plain_peaks(packed: DataFrame) -> DataFrame:
     return S.pick_peaks(S.adaptive_threshold(plain_novelty(packed), 8, 0.05))
 
 
-def knn_size() -> Column:
-    return F.floor(0.1 * F.size("x")).cast("int")
-
-
 def main_type(x) -> Column:
     """Number of the event type of every frame."""
     return F.transform(x, lambda v: (F.array_position(F.slice(v, 2, 5), 1.0) - 1).cast("int"))
@@ -135,10 +131,6 @@ def beat_sync_mean(spark, d):
     return cells(S.beat_sync(p))
 
 
-def cosine_affinity(packed: DataFrame) -> DataFrame:
-    return M.balanced_affinity(M.recurrence(S.normalise(packed, "min_max"), knn_size()))
-
-
 def mu_and_total(x):
     _, mu, aff = T.affinity(x)
     return [mu], [aff.sum()]
@@ -315,10 +307,6 @@ def resample_mean(spark, d):
     return cut.withColumn("w", part).where("w > 0").groupBy("track_id", "day").agg(r6(F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
 
 
-def time_lag_median(packed: DataFrame) -> DataFrame:
-    return M.ssm(packed, "cosine").withColumn("m", M.time_lag_median("ssm", 5))
-
-
 def estimation_records(spark, d) -> DataFrame:
     """Annotations as files hold them: per track one without labels, one with, and one of days."""
     both = sides(spark, d)

@@ -658,7 +658,7 @@ def test_oracle_reads_lists_of_distances():
 
 
 #: Queries whose matrices are made in NumPy and leave it as rows; as expressions every cell took microseconds.
-IN_NUMPY = ("recurrence_knn", "recurrence_mutual", "lag_matrix", "graph_degree", "balanced_affinity", "normalised_laplacian", "time_lag_median", "sf_boundaries_relational",)
+IN_NUMPY = ("recurrence_knn", "recurrence_mutual", "lag_matrix", "graph_degree", "balanced_affinity", "normalised_laplacian", "time_lag_median", "sf_boundaries_relational", "foote_boundaries_relational",)
 
 
 @pytest.mark.parametrize("name", IN_NUMPY)
