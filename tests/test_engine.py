@@ -692,3 +692,21 @@ def test_long_track_equals_one_task(spark, sf, monkeypatch):
     monkeypatch.setattr(Q, "LONG", 100)
     plan = Q.queries()["embeddings_segmented"](spark, sf)
     assert sorted(map(tuple, plan.collect())) == want and len(want) > 2
+
+
+#: Queries that return the error only: W and H of every frame are not made into rows.
+ERRORS_ONLY = ("SIVM",)
+
+
+@pytest.mark.parametrize("method", ERRORS_ONLY)
+def test_errors_alone_equal_those_with_factors(spark, sf, method):
+    from segmentry.operators import factor
+    from segmentry.operators import sequences as S
+    from segmentry.sources import frames as src
+
+    p = S.min_max(src.events_packed(spark, sf))
+    whole = factor.factorize_tracks(p, method).collect()
+    alone = factor.factorize_tracks(p, method, factors=("error",)).collect()
+    assert {r["factor"] for r in whole} == {"error", "W", "H"} and len(alone) == 15
+    assert sorted((r["track_id"], r["v"]) for r in alone) == sorted((r["track_id"], r["v"]) for r in whole if r["factor"] == "error")
+    assert len(whole) == 15 + 15 * 7 * 3 + 3 * 1000
