@@ -695,7 +695,7 @@ def test_long_track_equals_one_task(spark, sf, monkeypatch):
 
 
 #: Queries that return the error only: W and H of every frame are not made into rows.
-ERRORS_ONLY = ("SIVM", "LAESA", "GMAP", "NMFNNLS",)
+ERRORS_ONLY = ("SIVM", "LAESA", "GMAP", "NMFNNLS", "NMFALS",)
 
 
 @pytest.mark.parametrize("method", ERRORS_ONLY)
